@@ -9,11 +9,30 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.numeric import SENTINELS_DATE
 
-# Patterns tried, in order, after year-month-day and day-month-year (fixed,
-# reproducible stand-in for free-form guessing).
+# Date patterns, each with the text shape it needs.  Parsing is only tried on
+# text of the right shape, so a failed parse (an exception inside the
+# expression) is the exception, not the rule.
+YMD = ("yyyy-M-d", r"^\d{4}-\d{1,2}-\d{1,2}$")
+DMY = ("d-M-yyyy", r"^\d{1,2}-\d{1,2}-\d{4}$")
+# Tried, in order, after year-month-day and day-month-year: a fixed,
+# reproducible stand-in for free-form date guessing.
 EXTRA_DATE_PATTERNS = [
-    "yyyy-M-d H:m:s", "yyyy-M-d H:m", "d-M-yyyy H:m:s", "d-M-yyyy H:m", "yyyyMMdd",
-    "d MMM yyyy", "MMM d yyyy", "MMM d, yyyy", "d MMMM yyyy", "MMMM d yyyy", "MMMM d, yyyy",
+    ("yyyy-M-d H:m:s", r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$"),
+    ("yyyy-M-d H:m", r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}$"),
+    ("d-M-yyyy H:m:s", r"^\d{1,2}-\d{1,2}-\d{4} \d{1,2}:\d{1,2}:\d{1,2}$"),
+    ("d-M-yyyy H:m", r"^\d{1,2}-\d{1,2}-\d{4} \d{1,2}:\d{1,2}$"),
+    ("yyyyMMdd", r"^\d{8}$"),
+    ("d MMM yyyy", r"^\d{1,2} [a-z]{3} \d{4}$"),
+    ("MMM d yyyy", r"^[a-z]{3} \d{1,2} \d{4}$"),
+    ("MMM d, yyyy", r"^[a-z]{3} \d{1,2}, \d{4}$"),
+    ("d MMMM yyyy", r"^\d{1,2} [a-z]+ \d{4}$"),
+    ("MMMM d yyyy", r"^[a-z]+ \d{1,2} \d{4}$"),
+    ("MMMM d, yyyy", r"^[a-z]+ \d{1,2}, \d{4}$"),
+]
+TIME_PATTERNS = [
+    ("h:mma", r"^\d{1,2}:\d{2}(AM|PM)$"),
+    ("H:mm:ss", r"^\d{1,2}:\d{2}:\d{2}$"),
+    ("H:mm", r"^\d{1,2}:\d{2}$"),
 ]
 
 
@@ -25,17 +44,19 @@ def parse_date(c: str | Column) -> Column:
     """``Y-m-d`` else ``d-m-Y`` else null (unpadded parts accepted,
     trailing text rejected).  Date/timestamp input is passed through."""
     c = _col(c)
-    return F.coalesce(F.try_to_date(c, "yyyy-M-d"), F.try_to_date(c, "d-M-yyyy"))
+    return F.coalesce(*[F.when(c.rlike(shape), F.try_to_date(c, p)) for p, shape in (YMD, DMY)])
 
 
 def parse_date_lenient(c: str | Column,
-                       extra_patterns: Sequence[str] = tuple(EXTRA_DATE_PATTERNS)) -> Column:
+                       extra_patterns: Sequence[tuple[str, str]] = tuple(EXTRA_DATE_PATTERNS)
+                       ) -> Column:
     """Trim, lower, '/' -> '-', sentinels -> null, then T1, then the
     fixed ordered list of extra patterns."""
     s = F.regexp_replace(F.lower(F.trim(_col(c).cast("string"))), "/", "-")
     s = F.when(~s.isin(SENTINELS_DATE), s)
-    tries = [F.try_to_date(s, "yyyy-M-d"), F.try_to_date(s, "d-M-yyyy")]
-    tries += [F.to_date(F.try_to_timestamp(s, F.lit(p))) for p in extra_patterns]
+    tries = [F.when(s.rlike(shape), F.try_to_date(s, p)) for p, shape in (YMD, DMY)]
+    tries += [F.when(s.rlike(shape), F.to_date(F.try_to_timestamp(s, F.lit(p))))
+              for p, shape in extra_patterns]
     return F.coalesce(*tries)
 
 
@@ -43,9 +64,8 @@ def parse_time(c: str | Column) -> Column:
     """``h:mm am/pm`` else ``H:mm:ss`` else ``H:mm``; a time of day on
     the base day 1900-01-01 (TimestampNTZ)."""
     c = F.upper(F.trim(_col(c)))
-    t = F.coalesce(F.try_to_timestamp(c, F.lit("h:mma")),
-                   F.try_to_timestamp(c, F.lit("H:mm:ss")),
-                   F.try_to_timestamp(c, F.lit("H:mm")))
+    t = F.coalesce(*[F.when(c.rlike(shape), F.try_to_timestamp(c, F.lit(p)))
+                     for p, shape in TIME_PATTERNS])
     return F.make_timestamp_ntz(F.lit(1900), F.lit(1), F.lit(1),
                                 F.hour(t), F.minute(t), F.second(t))
 

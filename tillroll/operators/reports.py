@@ -83,9 +83,9 @@ def category_summary(df: DataFrame, group_col: str, revenue_col: str = "revenue"
     null keys dropped; sorted by total revenue descending."""
     return (df.filter(F.col(group_col).isNotNull())
             .groupBy(group_col)
-            .agg(F.sum(revenue_col).alias("total_revenue"),
+            .agg(F.coalesce(F.sum(revenue_col), F.lit(0.0)).alias("total_revenue"),
                  F.avg(revenue_col).alias("mean_revenue"),
-                 F.sum(qty_col).alias("total_quantity"),
+                 F.coalesce(F.sum(qty_col), F.lit(0)).alias("total_quantity"),
                  F.count_distinct(customer_col).alias("cust_count"))
             .orderBy(F.col("total_revenue").desc_nulls_last(), F.col(group_col)))
 
@@ -109,7 +109,8 @@ def dense_group_summary(df: DataFrame, group_cols: Sequence[str], revenue_col: s
                 F.avg(revenue_col).alias("mean_revenue"),
                 F.sum(qty_col).alias("total_quantity"),
                 F.count_distinct(customer_col).alias("cust_count")))
-    doms = base.agg(*[F.collect_set(c).alias(f"_dom_{c}") for c in g])
+    # collect_set skips nulls: each domain is the key's own non-null values
+    doms = df.agg(*[F.collect_set(c).alias(f"_dom_{c}") for c in g])
     for c in g:
         arr = F.col(f"_dom_{c}")
         doms = doms.withColumn(f"_dom_{c}", F.when(
@@ -130,9 +131,9 @@ def dense_group_summary(df: DataFrame, group_cols: Sequence[str], revenue_col: s
 
 
 def group_sum(df: DataFrame, group_col: str, value_col: str, out_col: str = "total") -> DataFrame:
-    """A4: sum by group (null keys dropped, as a pandas group-by does)."""
+    """A4: sum by group (null keys dropped; an all-null group sums to 0)."""
     return (df.filter(F.col(group_col).isNotNull()).groupBy(group_col)
-            .agg(F.sum(value_col).alias(out_col)))
+            .agg(F.coalesce(F.sum(value_col), F.lit(0.0)).alias(out_col)))
 
 
 def value_counts(df: DataFrame, col: str, out_col: str = "count") -> DataFrame:

@@ -94,3 +94,209 @@ QUERIES: dict[str, Query] = {
     "serial_hash": q_serial_hash,
     "phone_code": q_phone_code,
 }
+
+
+# --- customers -------------------------------------------------------------
+from tillroll.functions import numeric as M  # noqa: E402
+from tillroll.operators import cleaning as CL  # noqa: E402
+from tillroll.operators import customers as C  # noqa: E402
+from tillroll.operators import products as P  # noqa: E402
+from tillroll.operators import profile as PR  # noqa: E402
+from tillroll.operators import revenue as RV  # noqa: E402
+from tillroll.sources.fixtures import (  # noqa: E402
+    DISC_COLS, FIXTURE_OWN_BRAND, PAYMENT_COLS, product_view)
+
+# Price-scale configuration for the fixture categories (SMALL and DEMO are
+# deliberately not configured).
+PRICE_SCALE = {
+    "PROMO": {"scale": [0.8, 1.2], "mag": 10, "sfx": 9},
+    "ECONOMY": {"scale": [0.9, 1.1], "mag": 10, "sfx": 9},
+    "STANDARD": {"scale": [1.0, 1.5], "mag": 100, "sfx": 90},
+    "MEDIUM": {"scale": [0.7, 0.9], "mag": 10, "sfx": 5},
+    "LARGE": {"scale": [1.1, 1.3], "mag": 50, "sfx": 0},
+}
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = sales_view(spark, sf_dir, with_pos=True).select("pos", "invoice", "phone", "name", "email")
+    return C.normalize_customers(s)
+
+
+def q_customer_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = sales_view(spark, sf_dir).select("invoice", "phone", "name", "email")
+    return C.normalize_customers(s)
+
+
+def q_customer_master(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.code_customers(C.customer_master(_customers(spark, sf_dir)), CUST_SALT)
+
+
+def q_customer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _customers(spark, sf_dir)
+    master = C.code_customers(C.customer_master(lines), CUST_SALT)
+    return C.attach_customers(lines, master, CUST_SALT).select(
+        "pos", "invoice", "phone", "id", "name", "email")
+
+
+# --- products --------------------------------------------------------------
+
+def _products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = P.dedupe_products(product_view(spark, sf_dir))
+    return P.product_attributes(p, PROD_SALT, FIXTURE_OWN_BRAND)
+
+
+def q_colour_size_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _products(spark, sf_dir).select(
+        "pos", "ean", "cat", "master_sku", "color", "memory_size", "product_name")
+
+
+def q_price_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cfg = P.price_scale_config(spark, PRICE_SCALE)
+    p = P.mask_prices(_products(spark, sf_dir), cfg, SEED, key_col="master_sku")
+    return p.select("master_sku", "cat", "price", "new_price")
+
+
+def q_sku_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J4 + J5: SKU of each sales line from the product master by EAN."""
+    prod = _products(spark, sf_dir).select(
+        X.normalize_key(F.col("ean")).alias("ean"), F.col("master_sku").alias("sku"))
+    lines = sales_view(spark, sf_dir).select("invoice", X.normalize_key("ean").alias("ean"))
+    return lines.join(prod, "ean", "left")
+
+
+# --- reports ---------------------------------------------------------------
+
+def _report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = sales_view(spark, sf_dir).select("date", "cat", "sa", "qty", "revenue", "phone")
+    code = N.phone_code(X.clean_phone(X.normalize_ws("phone")), CUST_SALT)
+    return s.select(D.parse_date("date").alias("date"), "cat", "sa", "qty", "revenue",
+                    N.customer_id(code).alias("id"))
+
+
+def q_category_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.round_numeric(R.category_summary(_report_lines(spark, sf_dir), "cat"), 2)
+
+
+def q_month_category_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _report_lines(spark, sf_dir).withColumn("month", F.month("date"))
+    return R.round_numeric(R.dense_group_summary(s, ["month", "cat"]), 2)
+
+
+def q_salesperson_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.round_numeric(R.group_sum(_report_lines(spark, sf_dir), "sa", "revenue", "revenue"), 2)
+
+
+def q_value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.value_counts(_report_lines(spark, sf_dir), "cat", "n")
+
+
+def q_second_min_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = sales_view(spark, sf_dir).select("cat", "price")
+    return R.second_smallest_and_largest(s, ["cat"], "price", "second_lowest", "highest")
+
+
+# --- revenue, prices, payments ----------------------------------------------
+
+REVENUE_POCKETS = {"price": ["price"], "revenue": ["revenue"]}
+
+
+def _filled_revenue(spark: SparkSession, sf_dir: str, with_pos: bool = False) -> DataFrame:
+    s = sales_view(spark, sf_dir, with_pos=with_pos).drop("shelf_label")
+    out, _ = RV.repair_revenue(s, REVENUE_POCKETS, PAYMENT_COLS, DISC_COLS)
+    return out
+
+
+def q_revenue_alternate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = sales_view(spark, sf_dir).drop("shelf_label")
+    plan = RV.plan_revenue(s, REVENUE_POCKETS, DISC_COLS)
+    alt = RV.alternate_revenue(s, PAYMENT_COLS, plan)
+    return s.select("invoice", M.round_half_even(alt, 2).alias("revenue_alternate"))
+
+
+def q_revenue_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _filled_revenue(spark, sf_dir)
+    return out.select("invoice", "qty", M.round_half_even("revenue", 2).alias("revenue"))
+
+
+def q_revenue_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = sales_view(spark, sf_dir).drop("shelf_label")
+    out, plan = RV.repair_revenue(s, REVENUE_POCKETS, PAYMENT_COLS, DISC_COLS)
+    alt = RV.alternate_revenue(s, PAYMENT_COLS, plan)
+    m = RV.revenue_metrics(out.withColumn("_alt", alt), F.col("revenue"), F.col("_alt"))
+    return R.round_numeric(m, 4)
+
+
+def q_origin_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = RV.fill_origin_price(_filled_revenue(spark, sf_dir, with_pos=True))
+    return R.round_numeric(out.select("pos", "ean", "price", "price_ratio"), 4)
+
+
+def q_payment_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = sales_view(spark, sf_dir).select("invoice", "revenue", *PAYMENT_COLS)
+    out = RV.payment_ratios(s)
+    return R.round_numeric(out, 4)
+
+
+def q_payment_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = sales_view(spark, sf_dir).select("invoice", "qty", "price", "revenue", *DISC_COLS,
+                                         *PAYMENT_COLS)
+    ratios = RV.payment_ratios(s).drop("revenue")
+    out, _ = RV.repair_revenue(ratios, {"price": ["price"]}, None, DISC_COLS)
+    out = RV.mask_inconsistent(RV.resplit_payments(out))
+    return R.round_numeric(out.select("invoice", "qty", "revenue", "cash", "card", "qr_code",
+                                      "no_payment"), 4)
+
+
+# --- profiling and cleaning ------------------------------------------------
+
+def q_profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = sales_view(spark, sf_dir)
+    _, rows = PR.classify_columns(s)
+    return spark.createDataFrame(rows, "column string, pocket string, stage string")
+
+
+def q_typed_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = sales_view(spark, sf_dir)
+    pockets, _ = PR.classify_columns(s)
+    return R.round_numeric(CL.typed_clean(s, pockets), 4)
+
+
+def q_generic_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = sales_view(spark, sf_dir).select("invoice", "date", "time", "sa", "ean", "imei_sn",
+                                         "cat", "qty", "price", "disc_percent", "disc_amount",
+                                         "revenue", "name")
+    out = CL.generic_clean(s, drop_cols=["disc_percent", "disc_amount"],
+                           special_cols=["date", "time", "qty"],
+                           types={"invoice": "bigint", "qty": "int", "ean": "string"})
+    return R.round_numeric(out, 4)
+
+
+def q_money_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = sales_view(spark, sf_dir).select("invoice", "shelf_label", "sa", "ean")
+    money = PR.find_money_columns(s)
+    return s.select("invoice", *[M.comma_to_number(c).alias(f"{c}_value") for c in money])
+
+
+QUERIES.update({
+    "customer_normalize": q_customer_normalize,
+    "customer_master": q_customer_master,
+    "customer_join": q_customer_join,
+    "colour_size_name": q_colour_size_name,
+    "price_mask": q_price_mask,
+    "sku_lookup": q_sku_lookup,
+    "category_report": q_category_report,
+    "month_category_dense": q_month_category_dense,
+    "salesperson_revenue": q_salesperson_revenue,
+    "value_counts": q_value_counts,
+    "second_min_max": q_second_min_max,
+    "revenue_alternate": q_revenue_alternate,
+    "revenue_fill": q_revenue_fill,
+    "revenue_metrics": q_revenue_metrics,
+    "origin_price": q_origin_price,
+    "payment_groups": q_payment_groups,
+    "payment_check": q_payment_check,
+    "profile_columns": q_profile_columns,
+    "typed_clean": q_typed_clean,
+    "generic_clean": q_generic_clean,
+    "money_cast": q_money_cast,
+})

@@ -78,7 +78,7 @@ def sales_view(spark: SparkSession, sf_dir: str, with_pos: bool = False,
         F.col("p_type").alias("cat"),
         qty.alias("qty"),
         price.alias("price"),
-        F.format_number(price, 2).alias("price_text"),
+        F.format_number(price, 2).alias("shelf_label"),
         F.col("l_discount").alias("disc_percent"),
         amt.alias("disc_amount"),
         F.when(h % 13 == 0, F.lit(None).cast("double"))
