@@ -54,18 +54,22 @@ def parse_date_lenient(c: str | Column,
     fixed ordered list of extra patterns."""
     s = F.regexp_replace(F.lower(F.trim(_col(c).cast("string"))), "/", "-")
     s = F.when(~s.isin(SENTINELS_DATE), s)
+    any_shape = "|".join(f"(?:{shape})" for _, shape in (YMD, DMY, *extra_patterns))
+
     tries = [F.when(s.rlike(shape), F.try_to_date(s, p)) for p, shape in (YMD, DMY)]
     tries += [F.when(s.rlike(shape), F.to_date(F.try_to_timestamp(s, F.lit(p))))
               for p, shape in extra_patterns]
-    return F.coalesce(*tries)
+    # one combined shape test first: text that fits no pattern costs one regex
+    return F.when(s.rlike(any_shape), F.coalesce(*tries))
 
 
 def parse_time(c: str | Column) -> Column:
     """``h:mm am/pm`` else ``H:mm:ss`` else ``H:mm``; a time of day on
     the base day 1900-01-01 (TimestampNTZ)."""
     c = F.upper(F.trim(_col(c)))
-    t = F.coalesce(*[F.when(c.rlike(shape), F.try_to_timestamp(c, F.lit(p)))
-                     for p, shape in TIME_PATTERNS])
+    any_shape = "|".join(f"(?:{shape})" for _, shape in TIME_PATTERNS)
+    t = F.when(c.rlike(any_shape), F.coalesce(*[
+        F.when(c.rlike(shape), F.try_to_timestamp(c, F.lit(p))) for p, shape in TIME_PATTERNS]))
     return F.make_timestamp_ntz(F.lit(1900), F.lit(1), F.lit(1),
                                 F.hour(t), F.minute(t), F.second(t))
 
