@@ -319,3 +319,41 @@ def q_null_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES.update({"date_recover": q_date_recover, "null_runs": q_null_runs})
+
+
+# --- traffic, interpolation, series masking -------------------------------------
+from tillroll.operators.interpolate import pchip_fill  # noqa: E402
+from tillroll.plans.traffic import masked_traffic, traffic_table  # noqa: E402
+from tillroll.sources.fixtures import holiday_calendar, traffic_parts, traffic_view  # noqa: E402
+
+TRAFFIC_SCALE = (0.6, 1.4)
+
+
+def q_traffic_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traffic_table(traffic_parts(spark, sf_dir), holiday_calendar(spark))
+
+
+def q_traffic_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = masked_traffic(traffic_parts(spark, sf_dir), holiday_calendar(spark), TRAFFIC_SCALE, SEED)
+    return out.select("series", "period", "event_name", "new_traffic")
+
+
+def q_pchip_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = traffic_view(spark, sf_dir)
+    holes = t.withColumn("traffic", F.when(F.dayofmonth("period") % 5 != 0, F.col("traffic")))
+    out = pchip_fill(holes, ["series"], "period", "traffic", "traffic_filled")
+    return R.round_numeric(out.select("series", "period", "traffic", "traffic_filled"), 4)
+
+
+def q_low_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = traffic_view(spark, sf_dir)
+    return R.round_numeric(t.groupBy("series").agg(
+        F.percentile(F.col("traffic").cast("double"), 0.15).alias("q15")), 4)
+
+
+QUERIES.update({
+    "traffic_table": q_traffic_table,
+    "traffic_mask": q_traffic_mask,
+    "pchip_fill": q_pchip_fill,
+    "low_quantile": q_low_quantile,
+})
