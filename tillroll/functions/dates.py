@@ -36,6 +36,11 @@ TIME_PATTERNS = [
 ]
 
 
+def _anchored_union(shapes: Sequence[str]) -> str:
+    """'^(?:a|b|c)$' from anchored shapes '^a$', '^b$', '^c$' (fails fast)."""
+    return "^(?:" + "|".join(sh[1:-1] for sh in shapes) + ")$"
+
+
 def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -52,9 +57,9 @@ def parse_date_lenient(c: str | Column,
                        ) -> Column:
     """Trim, lower, '/' -> '-', sentinels -> null, then T1, then the
     fixed ordered list of extra patterns."""
-    s = F.regexp_replace(F.lower(F.trim(_col(c).cast("string"))), "/", "-")
+    s = F.translate(F.lower(F.trim(_col(c).cast("string"))), "/", "-")
     s = F.when(~s.isin(SENTINELS_DATE), s)
-    any_shape = "|".join(f"(?:{shape})" for _, shape in (YMD, DMY, *extra_patterns))
+    any_shape = _anchored_union([shape for _, shape in (YMD, DMY, *extra_patterns)])
 
     tries = [F.when(s.rlike(shape), F.try_to_date(s, p)) for p, shape in (YMD, DMY)]
     tries += [F.when(s.rlike(shape), F.to_date(F.try_to_timestamp(s, F.lit(p))))
@@ -67,7 +72,7 @@ def parse_time(c: str | Column) -> Column:
     """``h:mm am/pm`` else ``H:mm:ss`` else ``H:mm``; a time of day on
     the base day 1900-01-01 (TimestampNTZ)."""
     c = F.upper(F.trim(_col(c)))
-    any_shape = "|".join(f"(?:{shape})" for _, shape in TIME_PATTERNS)
+    any_shape = _anchored_union([shape for _, shape in TIME_PATTERNS])
     t = F.when(c.rlike(any_shape), F.coalesce(*[
         F.when(c.rlike(shape), F.try_to_timestamp(c, F.lit(p))) for p, shape in TIME_PATTERNS]))
     return F.make_timestamp_ntz(F.lit(1900), F.lit(1), F.lit(1),

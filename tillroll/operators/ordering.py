@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,8 +53,11 @@ def with_position(df: DataFrame, order_cols: Sequence[str | Column], pos_col: st
     spark = df.sparkSession
     n = _num_partitions(df, num_partitions)
     keys = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    # The range partitioner samples its input in a job of its own; keep the
+    # input so that the sample and the shuffle do not both recompute it.
+    src = df.persist(StorageLevel.MEMORY_AND_DISK) if checkpoint else df
     numbered = (
-        df.repartitionByRange(n, *[k.asc_nulls_first() for k in keys])
+        src.repartitionByRange(n, *[k.asc_nulls_first() for k in keys])
         .sortWithinPartitions(*[k.asc_nulls_first() for k in keys])
         .withColumn("_pid", F.spark_partition_id())
         # monotonically_increasing_id = (partition index << 33) + row index
@@ -63,6 +67,7 @@ def with_position(df: DataFrame, order_cols: Sequence[str | Column], pos_col: st
     if checkpoint:
         ensure_checkpoint_dir(spark)
         numbered = numbered.checkpoint(eager=True)
+        src.unpersist()
     # One row per partition: its size is bounded by the partition count.
     offsets = (
         numbered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))

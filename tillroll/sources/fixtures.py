@@ -51,14 +51,23 @@ def sales_view(spark: SparkSession, sf_dir: str, with_pos: bool = False,
     ``with_pos`` adds the contiguous file-order position ``pos``
     (rank by l_orderkey, l_linenumber, l_partkey, l_suppkey)."""
     j = sales_lines(spark, sf_dir)
-    h = _h()
-    k = F.col("c_custkey")
-    z = F.lpad(k.cast("string"), 8, "0")
-    d0 = F.date_add(F.lit("2024-01-01").cast("date"), F.expr("l_orderkey div 40").cast("int"))
-    qty = F.when(h % 37 == 0, F.lit(0)).otherwise(F.col("l_quantity").cast("int"))
-    price = F.floor(F.col("l_extendedprice") * 100.0 / F.col("l_quantity")) / 100.0
-    amt = F.when(h % 9 == 0, F.lit(100.0)).otherwise(F.lit(0.0))
-    r = price * qty * (1 - F.col("l_discount")) - amt
+    # derived keys first, in a narrow projection, so the wide projection below
+    # refers to them instead of repeating their expressions
+    j = j.select(
+        *SALES_ORDER_KEYS, "l_quantity", "l_extendedprice", "l_discount", "c_name", "p_type",
+        "c_custkey", _h().alias("_h"),
+        F.lpad(F.col("c_custkey").cast("string"), 8, "0").alias("_z"),
+        F.date_add(F.lit("2024-01-01").cast("date"),
+                   F.expr("l_orderkey div 40").cast("int")).alias("_d0"),
+        (F.floor(F.col("l_extendedprice") * 100.0 / F.col("l_quantity")) / 100.0).alias("_price"),
+    )
+    j = j.select("*", F.when(F.col("_h") % 37 == 0, F.lit(0))
+                 .otherwise(F.col("l_quantity").cast("int")).alias("_qty"),
+                 F.when(F.col("_h") % 9 == 0, F.lit(100.0)).otherwise(F.lit(0.0)).alias("_amt"))
+    j = j.select("*", (F.col("_price") * F.col("_qty") * (1 - F.col("l_discount"))
+                       - F.col("_amt")).alias("_r"))
+    h, k, z, d0 = F.col("_h"), F.col("c_custkey"), F.col("_z"), F.col("_d0")
+    qty, price, amt, r = F.col("_qty"), F.col("_price"), F.col("_amt"), F.col("_r")
     hp = h % 5
     cols = [
         F.col("l_orderkey").alias("invoice"),
