@@ -9,9 +9,9 @@ DataFrame has no row order, so order is made explicit:
   caller's (unique) order keys, without a single-partition window:
   range-partition, sort inside partitions, number rows locally, add the running
   total of the per-partition counts (one row per partition, broadcast).  The
-  numbered frame is checkpointed into ``spark.checkpoint.dir`` so the count and
-  the numbering see the same partitions, and so later stages restart from it
-  when an executor is lost.
+  numbered frame is written as a table under ``spark.checkpoint.dir`` so the
+  count and the numbering see the same rows, and so later stages restart from
+  it when an executor is lost.
 * ``with_halo_buckets`` cuts the global order into buckets of ``bucket_rows``
   rows and copies the ``halo`` rows next to each edge into the neighbouring
   bucket, so a window partitioned by bucket can look ``halo`` rows past its
@@ -32,7 +32,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.session import ensure_checkpoint_dir
+from tillroll.session import materialize
 
 DEFAULT_BUCKET_ROWS = 1 << 20   # rows per halo bucket (≈ one task's worth)
 DEFAULT_BLOCK_ROWS = 1 << 20    # rows of pos per block in fill_within_groups
@@ -65,8 +65,7 @@ def with_position(df: DataFrame, order_cols: Sequence[str | Column], pos_col: st
                     - F.shiftleft(F.col("_pid").cast("long"), 33))
     )
     if checkpoint:
-        ensure_checkpoint_dir(spark)
-        numbered = numbered.checkpoint(eager=True)
+        numbered = materialize(numbered, "positions")
         src.unpersist()
     # One row per partition: its size is bounded by the partition count.
     offsets = (
