@@ -1,0 +1 @@
+"""The row-local cleaning operators applied to streaming DataFrames."""
