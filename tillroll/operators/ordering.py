@@ -124,6 +124,9 @@ def fill_within_groups(df: DataFrame, group_cols: Sequence[str], pos_col: str,
             w.rowsBetween(1, Window.unboundedFollowing)))
     )
     known_pos = F.when(F.col(value_col).isNotNull(), F.col(pos_col))
+    # Block summary straight from the input: max_by/min_by combine map-side,
+    # so only about one row per (group, block) and input partition is
+    # shuffled (the input itself is read a second time, narrowly).
     summary = (
         with_blk.groupBy(*g, "_blk").agg(
             F.max_by(value_col, known_pos).alias("_blast"),
