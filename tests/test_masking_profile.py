@@ -112,3 +112,16 @@ def test_classify_by_name():
     assert flat["cat"] == "category_col"
     assert flat["invoice_no"] == "string_col" and flat["sku"] == "string_col"
     assert set(pending) == {"ship_amount", "phone", "xyz"}
+
+
+def test_profile_sample_modes(spark):
+    from tillroll.operators.profile import classify_columns
+    rows = [(i, "yes" if i % 2 else "no", f"{i % 40}", "0901234567" if i <= 1000 else "x")
+            for i in range(1, 3001)]
+    df = spark.createDataFrame(rows, "pos long, flag_x string, grp string, contact string")
+    allp, _ = classify_columns(df, ["flag_x", "grp", "contact"])
+    headp, _ = classify_columns(df, ["flag_x", "grp", "contact"], sample="head")
+    assert "flag_x" in allp["boolean_col"] and "flag_x" in headp["boolean_col"]
+    assert "contact" in headp["phone_col"] and "contact" not in allp["phone_col"]
+    fr, _ = classify_columns(df, ["flag_x"], sample=0.5)
+    assert "flag_x" in fr["boolean_col"]
