@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 # string -> double cast also accepts '5d', '1f', 'NaN' and 'Infinity'; the guard
 # keeps those null, as a coercing parse in the reference does.
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+NUMBER_FIRST_CHARS = list("0123456789+-.\t\n\r\f\x0b")
 # Whole-value sentinels that mean "missing" (fixed values).
 SENTINELS_BASIC = ["", "N/A", "na", "n/a", "NaN"]
 SENTINELS_DATE = ["", "nan", "nat", "none"]
@@ -27,7 +28,11 @@ def to_number(c: str | Column, is_string: bool = True) -> Column:
     c = _col(c)
     if not is_string:
         return c.cast("double")
-    return F.when(c.rlike(NUMBER_PATTERN), F.trim(c).try_cast("double"))
+    # cheap first-character test before the regular expression: most text
+    # that is not a number is rejected without running the regex
+    first = F.substring(F.ltrim(c), 1, 1)
+    plausible = first.isin(*NUMBER_FIRST_CHARS)
+    return F.when(plausible & c.rlike(NUMBER_PATTERN), F.trim(c).try_cast("double"))
 
 
 def comma_to_number(c: str | Column) -> Column:
@@ -66,7 +71,8 @@ def isclose(a: str | Column, b: str | Column, rtol: float = 1e-5, atol: float =
 
 def round_half_even(c: str | Column, digits: int = 0) -> Column:
     """scale, round half to even, unscale — the binary-scaled rounding of
-    array libraries (``round(x, 2)`` of 2.675 is 2.67 there too)."""
+    array libraries (2.675 * 100 is exactly 267.5 in binary, so 2.675 -> 2.68
+    there and here)."""
     c = _col(c)
     if digits == 0:
         return F.bround(c, 0)
