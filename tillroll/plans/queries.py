@@ -444,3 +444,59 @@ QUERIES.update({
     "sales_pipeline": q_sales_pipeline,
     "sales_event_impact": q_sales_event_impact,
 })
+
+
+# --- SQL over named frames, appended yearly files --------------------------------
+from tillroll.sources.csv_io import append_aligned  # noqa: E402
+
+
+def q_event_impact_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3 + P8: the event report as SQL text over frames registered by name."""
+    orders = read_table(spark, sf_dir, "orders", ["o_orderdate", "o_totalprice"])
+    src = CL.recast(orders.withColumnRenamed("o_orderdate", "date")
+                    .withColumnRenamed("o_totalprice", "revenue"), {"date": "date"})
+    src.createOrReplaceTempView("tillroll_sales_src")
+    ev = f"date >= DATE'{EVENT_START}' AND date <= DATE'{ANALYSIS_END}'"
+    out = spark.sql(f"""
+        WITH pre AS (
+            SELECT date, SUM(revenue) AS revenue_by_date FROM tillroll_sales_src GROUP BY date
+        ), raw AS (
+            SELECT *, ROUND(AVG(revenue_by_date) OVER (ORDER BY date ASC NULLS LAST
+                   ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 0) AS rolling_7day FROM pre
+        ), s AS (
+            SELECT *, ROUND(SQRT(revenue_by_date), 0) AS sqrt_revenue,
+                   ROUND(SQRT(rolling_7day), 0) AS sqrt_rolling,
+                   CASE WHEN {ev} THEN ROUND(SQRT(rolling_7day), 0) END AS sqrt_event_launching,
+                   CASE WHEN {ev} THEN 1 ELSE 0 END AS is_after_event
+            FROM raw
+        ), m AS (
+            SELECT *, AVG(CASE WHEN is_after_event = 0 THEN revenue_by_date END) OVER () AS rbm,
+                      AVG(CASE WHEN is_after_event = 1 THEN revenue_by_date END) OVER () AS ram
+            FROM s
+        )
+        SELECT *, CASE WHEN is_after_event = 0 THEN rbm END AS raw_before_event_mean,
+                  CASE WHEN is_after_event = 1 THEN ram END AS raw_after_event_mean,
+                  CASE WHEN is_after_event = 0 THEN SQRT(rbm) END AS sqrt_before_event_mean,
+                  CASE WHEN is_after_event = 1 THEN SQRT(ram) END AS sqrt_after_event_mean,
+                  (try_divide(ram, rbm) - 1) * 100 AS event_increase
+        FROM m""")
+    # one row per day: the unpartitioned windows above see the daily frame only
+    return R.round_numeric(out, 2)
+
+
+YEAR_SPLIT_INVOICE = 40 * 366   # invoices whose base date falls in 2024
+
+
+def q_sales_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U1 + H2 + H1 + P11: two yearly exports, the older with its own header
+    spelling, aligned by position, appended, headers normalised, rows without
+    the first four fields dropped."""
+    s = sales_view(spark, sf_dir).select("invoice", "date", "time", "sa", "ean", "qty", "revenue")
+    older = s.filter(F.col("invoice") < YEAR_SPLIT_INVOICE).toDF(
+        "Invoice", "Date ", " Time", "SA", "EAN", "Qty", "Revenue")
+    newer = s.filter(F.col("invoice") >= YEAR_SPLIT_INVOICE)
+    both = normalize_headers(append_aligned([older, newer], "source_id"))
+    return both.dropna(how="any", subset=both.columns[:4])
+
+
+QUERIES.update({"event_impact_sql": q_event_impact_sql, "sales_append": q_sales_append})
