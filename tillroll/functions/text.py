@@ -105,8 +105,13 @@ def extract_color(name: str | Column, description: str | Column,
         F.lower(F.concat_ws(" ", F.coalesce(_col(name).cast("string"), F.lit("")),
                             F.coalesce(_col(description).cast("string"), F.lit("")))),
         "[/-]", " ")
-    kws = F.array(*[F.lit(k) for k in sorted_color_keywords(keywords)])
-    hit = F.try_element_at(F.filter(kws, lambda k: F.instr(text, k) > 0), F.lit(1))
+    # A CASE chain (longest keyword first) rather than a higher-order filter:
+    # the text is computed once per row and the whole test stays in generated
+    # code (a lambda would re-evaluate the text for every keyword).
+    hit = None
+    for k in sorted_color_keywords(keywords):
+        cond = F.instr(text, k) > 0
+        hit = F.when(cond, F.lit(k)) if hit is None else hit.when(cond, F.lit(k))
     names = F.create_map(*[x for k, v in COLOR_NAMES.items() for x in (F.lit(k), F.lit(v))])
     return F.coalesce(F.try_element_at(names, hit), F.initcap(hit))
 
