@@ -53,3 +53,15 @@ def test_pipeline_runs(spark):
             "qr_code", "no_payment", "date_status"} <= cols
     assert not {"phone", "email_raw", "payoo", "vnpay", "new_price"} & cols
     assert df.count() > 0
+
+
+def test_pipeline_counters(spark):
+    from tillroll.plans.queries import CUST_SALT, SERIAL_KEY, _product_master
+    from tillroll.plans.sales import SalesConfig, sales_pipeline
+    from tillroll.sources.fixtures import sales_view
+    out, metrics = sales_pipeline(sales_view(spark, SF, with_pos=True), _product_master(spark, SF),
+                                  SalesConfig(cust_salt=CUST_SALT, serial_key=SERIAL_KEY))
+    n = out.count()
+    got = metrics["counters"].get
+    assert got["rows"] == n and got["dates_pending"] >= 0
+    assert metrics["pockets"]["date_col"] == ["date"]
