@@ -15,6 +15,7 @@ from tillroll.functions import text as X
 from tillroll.operators import reports as R
 from tillroll.plans.oracles import ANALYSIS_END, EVENT_START
 from tillroll.sources.fixtures import sales_view
+from tillroll.session import materialize
 from tillroll.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -227,7 +228,9 @@ def q_revenue_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_origin_price(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = RV.fill_origin_price(_filled_revenue(spark, sf_dir, with_pos=True))
+    # the repaired lines feed the per-EAN lookups and the join back to them
+    lines = materialize(_filled_revenue(spark, sf_dir, with_pos=True), "origin-lines")
+    out = RV.fill_origin_price(lines)
     return R.round_numeric(out.select("pos", "ean", "price", "price_ratio"), 4)
 
 
