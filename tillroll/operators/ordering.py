@@ -96,8 +96,11 @@ def with_halo_buckets(df: DataFrame, pos_col: str, halo: int,
         F.when(off < halo, F.struct((b - 1).alias("b"), F.lit(False).alias("h"))),
         F.when(off >= bucket_rows - halo, F.struct((b + 1).alias("b"), F.lit(False).alias("h"))),
     )
+    # explode all three slots and drop the empty ones (no lambda: stays in
+    # generated code)
     return (
-        df.withColumn("_copy", F.explode(F.filter(copies, lambda x: x.isNotNull())))
+        df.withColumn("_copy", F.explode(copies))
+        .filter(F.col("_copy").isNotNull())
         .withColumn(bucket_col, F.col("_copy.b"))
         .withColumn(home_col, F.col("_copy.h"))
         .drop("_copy")
