@@ -503,3 +503,17 @@ def q_sales_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES.update({"event_impact_sql": q_event_impact_sql, "sales_append": q_sales_append})
+
+
+def q_reprice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The masked catalogue price moved by each line's price ratio."""
+    lines = materialize(_filled_revenue(spark, sf_dir, with_pos=True), "reprice-lines")
+    priced = RV.fill_origin_price(lines).select("pos", "ean", "price_ratio")
+    masked = _product_master(spark, sf_dir).select(
+        X.normalize_key(F.col("ean").cast("string")).alias("ean"), "new_price")
+    out = priced.join(masked, "ean", "left")
+    return out.select("pos", "ean", M.round_half_even(
+        RV.reprice(F.col("new_price"), F.col("price_ratio")), 4).alias("price"))
+
+
+QUERIES["reprice"] = q_reprice
