@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from tillroll.llm.common import documents
 
 K, WINDOW = 16, 8
-#: Blocks of ascending ids; each holds about an equal share of the documents.
-BLOCKS = 512
+#: Blocks of ascending ids for each shuffle partition.
+BLOCKS_PER_PARTITION = 4
 PLACES = 1 << 31
 
 
@@ -83,29 +83,27 @@ def winnow(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
             .select("doc_id", F.transform("m", lambda m: F.shiftright(m, 31)).alias("hashes"), positions(F.col("m")).alias("positions")))
 
 
-def with_next(docs: DataFrame, blocks: int = BLOCKS) -> DataFrame:
-    """Add to (doc_id, text, selected) the next document's ``next_text`` and
-    ``next_selected``, ascending doc_id, the first after the last."""
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text")]
-    here = Window.partitionBy("block").orderBy(*order)
-    blocked = docs.withColumn("next_text", F.lead("text").over(here)).withColumn("next_selected", F.lead("selected").over(here))
-    return blocked
+def block_cuts(ids: DataFrame) -> list[int]:
+    """Bounds between blocks of about equal numbers of ids: the ids' quantiles,
+    BLOCKS_PER_PARTITION for each shuffle partition of the session."""
+    n = max(16, BLOCKS_PER_PARTITION * int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n).alias("q")).first()["q"]
+    return sorted(set(cuts or []))
 
 
-def block_of(ids: DataFrame, blocks: int = BLOCKS) -> Column:
-    """The block of ``doc_id``: the number of quantiles that it exceeds.  The
-    array of quantiles has at most ``blocks`` - 1 entries."""
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / blocks for i in range(1, blocks)], 100 * blocks // 4).alias("q")).first()["q"]
-    cuts = sorted(set(cuts or []))
+def with_block(rows: DataFrame, cuts: list[int]) -> DataFrame:
+    """Add ``block``, the number of bounds below ``doc_id`` (null: 0), found by
+    bisection."""
+    out = rows.withColumn("block", F.lit(0))
     if not cuts:
-        return F.lit(0)
-    # halving: the bounds are a balanced tree of comparisons
-    def below(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") > cuts[mid], below(mid + 1, hi)).otherwise(below(lo, mid))
-    return below(0, len(cuts))
+        return out
+    bounds, step = F.lit(cuts).cast("array<bigint>"), 1 << (len(cuts).bit_length() - 1)
+    while step:
+        # past the end F.get is null, which counts as not below
+        out = out.withColumn("block", F.col("block") + F.when(
+            F.get(bounds, F.col("block") + (step - 1)) < F.col("doc_id"), step).otherwise(0))
+        step //= 2
+    return out
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -115,64 +113,69 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(both / either)
 
 
-def edited_likeness(docs: DataFrame, k: int = K, window: int = WINDOW, blocks: int = BLOCKS) -> DataFrame:
+def _selected(rows: DataFrame, text: str, into: str, k: int, window: int) -> DataFrame:
+    return (rows.withColumn("packed", gram_hashes(F.col(text), k))
+            .withColumn("minima", window_minima(F.col("packed"), window))
+            .withColumn(into, selection(F.col("minima"))).drop("packed", "minima"))
+
+
+def next_of_blocks(rows: DataFrame, k: int, window: int) -> DataFrame:
+    """(block, follow, follow_selected): the first document behind each block,
+    a row per block."""
+    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    least = rows.groupBy("block").agg(F.min(key).alias("first"))
+    firsts = (rows.join(F.broadcast(least.withColumnRenamed("block", "_b")), (F.col("_b") == F.col("block")) & (key == F.col("first")))
+              .groupBy("block").agg(F.min("text").alias("text")))
+    turn = Window.orderBy("block")  # at most a row per block
+    follow = firsts.select("block", F.coalesce(
+        F.lead("text").over(turn), F.first("text").over(turn)).alias("follow"))
+    return _selected(follow, "follow", "follow_selected", k, window)
+
+
+def edited_likeness(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, hashes, edited_hashes, next_hashes)."""
-    reach = window + k - 2  # code points of a window but one
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                       F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    own = (
-        rows.withColumn("block", block_of(rows, blocks)).repartition("block")
-        .withColumn("packed", gram_hashes(F.col("text"), k))
-        .withColumn("minima", window_minima(F.col("packed"), window))
-        .withColumn("selected", selection(F.col("minima")))
-        .select("block", "doc_id", "text", "selected")
-    )
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text")]
-    here = Window.partitionBy("block").orderBy(*order)
-    # a block's last document has the first of the next block that has any:
-    # a row per block, so the ordering of blocks is a small one
-    ends = rows.withColumn("block", block_of(rows, blocks)).groupBy("block").agg(
-        F.min(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "text")).alias("first"))
-    turn = Window.orderBy("block")
-    follow = ends.select(
-        "block", F.coalesce(F.lead("first").over(turn), F.first("first").over(turn)).alias("first")
-    ).select(F.col("block"), F.col("first.text").alias("follow"))
+    reach = window + k - 2  # code points of a window, less one
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = with_block(plain, block_cuts(plain))
+    here = Window.partitionBy("block").orderBy(F.col("doc_id").asc_nulls_first(), "text")
+    own = _selected(rows.repartition("block"), "text", "selected", k, window)
+    late = F.col("next_text").isNull()
     seen = (
         own.withColumn("next_text", F.lead("text").over(here)).withColumn("next_selected", F.lead("selected").over(here))
-        .join(F.broadcast(follow), "block")  # at most ``blocks`` rows
-        .withColumn("late", F.col("next_text").isNull())
+        .join(next_of_blocks(rows, k, window), "block")
+        .withColumn("next_selected", F.when(late, F.col("follow_selected")).otherwise(F.col("next_selected")))
         .withColumn("next_text", F.coalesce("next_text", "follow"))
-        .withColumn("next_selected", F.when(
-            F.col("late"), selection(window_minima(gram_hashes(F.col("follow"), k), window))).otherwise(F.col("next_selected")))
+        .drop("follow", "follow_selected")
     )
-    n = F.char_length("text")
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    taken = F.least(half, F.char_length("next_text"))
-    stay = F.col("n_chars") - half
     joined = (
-        seen.withColumn("n_chars", n)
-        .withColumn("kept", F.substring(F.col("text"), F.lit(1), stay))
-        .withColumn("given", F.substring(F.col("next_text"), F.lit(1), taken))
-        .withColumn("edited", F.concat("kept", "given"))
-        .withColumn("n_kept", F.char_length("kept")).withColumn("n_given", F.char_length("given"))
+        seen.withColumn("n_chars", F.char_length("text"))
+        .withColumn("kept", F.substring(F.col("text"), F.lit(1), F.col("n_chars") - half))
+        .withColumn("given", F.substring(F.col("next_text"), F.lit(1), half))
+        .withColumn("n_kept", F.col("n_chars") - half).withColumn("n_given", F.char_length("given"))
+        .withColumn("edited_sha256", F.sha2(F.concat("kept", "given"), 256))
+        .withColumn("seam", F.concat(F.right(F.col("kept"), F.lit(reach)), F.left(F.col("given"), F.lit(reach))))
+        .drop("text", "next_text", "kept", "given")
+        # windows across the seam; a seam without one is the whole edited text
+        # if that is short, else the end of a text to which nothing was added
+        .withColumn("packed", F.when(
+            (F.char_length("seam") > reach) | (F.col("n_kept") + F.col("n_given") <= reach),
+            gram_hashes(F.col("seam"), k)).otherwise(F.array().cast("array<bigint>")))
+        .withColumn("minima", window_minima(F.col("packed"), window))
     )
-    # windows inside the first ``chars`` code points start below this number
-    def inside(selected: Column, chars: Column) -> Column:
-        return F.transform(F.filter(selected, lambda s: s["w"] < chars - (reach)), lambda s: s["m"])
-
-    seam = F.concat(F.right(F.col("kept"), F.lit(reach)), F.left(F.col("given"), F.lit(reach)))
-    pieced = F.concat(inside(F.col("selected"), F.col("n_kept")), inside(F.col("next_selected"), F.col("n_given")),
-                      window_minima(gram_hashes(seam, k), window))
-    # a short side has no window of its own; its shortest forms need the text
-    whole = window_minima(gram_hashes(F.col("edited"), k), window)
-    short = (F.col("n_kept") < reach + 1) | (F.col("n_given") < reach + 1)
+
+    def inside(selected: str, chars: str) -> Column:
+        """Minima of the windows inside the first ``chars`` code points."""
+        return F.transform(F.filter(F.col(selected), lambda s: s["w"] < F.col(chars) - reach), lambda s: s["m"])
+
+    def of(selected: str) -> Column:
+        return hashes(F.transform(F.col(selected), lambda s: s["m"]))
+
     return joined.select(
-        "doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        hashes(F.transform("selected", lambda s: s["m"])).alias("hashes"),
-        hashes(F.when(F.char_length("edited") <= 4 * reach, whole).when(
-            short, F.concat(inside(F.col("selected"), F.col("n_kept")), inside(F.col("next_selected"), F.col("n_given")),
-                            window_minima(gram_hashes(seam, k), window))).otherwise(pieced)).alias("edited_hashes"),
-        hashes(F.transform("next_selected", lambda s: s["m"])).alias("next_hashes"))
+        "doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", of("selected").alias("hashes"),
+        hashes(F.concat(inside("selected", "n_kept"), inside("next_selected", "n_given"), F.col("minima"))).alias("edited_hashes"),
+        of("next_selected").alias("next_hashes"))
 
 
 def digest(found: Column) -> Column:
