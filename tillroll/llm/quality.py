@@ -220,6 +220,26 @@ def judge(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) ->
     return found.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("probability") >= threshold))
 
 
+def keep_good(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def good(text: str, m: QualityModel, hashes: WordHashes) -> bool:
+        words = _words(text)
+        n = len(words)
+        if n < MIN_WORDS or 100 * repeat_words(words) > MAX_REPEAT_PERCENT * n:
+            return False
+        return m.probability(text.encode(), words, hashes) >= threshold
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, hashes = sent.value, WordHashes()
+        for batch in batches:
+            yield batch.filter(pa.array([good(t, m, hashes) for t in texts(batch, at)], pa.bool_()))
+
+    at = docs.columns.index("text")
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = fit_quality(docs, read_table(spark, sf_dir, "labels"))

@@ -34,7 +34,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.llm.common import documents, texts
@@ -69,16 +69,19 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > len(h)).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp), a row per row of ``docs``; ``fp`` is a signed long."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, mark: Column | None = None) -> DataFrame:
+    """(doc_id, mark, fp), a row per row of ``docs``; ``fp`` is a signed long,
+    ``mark`` a long that the caller wants back."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                       (F.lit(0) if mark is None else mark).cast("long").alias("mark"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(t, shingle) for t in texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps, pa.int64())],
+                                             names=["doc_id", "mark", "fp"])
 
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, "doc_id long, mark long, fp long")
 
 
 def block_masks(blocks: int = BLOCKS, radius: int = RADIUS) -> list[int]:
@@ -267,17 +270,30 @@ def components(edges: DataFrame) -> DataFrame:
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, component_id), a row per row of ``docs``; component_id is
-    the smallest doc_id of its component."""
-    found = materialize(fingerprints(docs, shingle), "fingerprints")
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, mark: Column | None = None) -> DataFrame:
+    """(doc_id, mark, fp, root, component_id), a row per row of ``docs``;
+    ``root`` names the component, component_id is its smallest doc_id."""
+    found = materialize(fingerprints(docs, shingle, mark), "fingerprints")
     nodes = found.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(nodes.select("fp"), radius))
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = named.join(least, "root").select("fp", "component_id")
-    return found.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = named.join(least, "root").select("fp", "root", "component_id")
+    return found.join(classes, "fp").select("doc_id", "mark", "fp", "root", "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One row of each component, with all columns: the smallest doc_id (null
+    last), of equal ids the smallest hash of the row, of equal rows one."""
+    mark = F.xxhash64(*docs.columns)
+    found = near_duplicates(docs, shingle, radius, mark)
+    best = found.groupBy("root").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("b")
+    ).select(F.col("b.doc_id").alias("_id"), F.col("b.mark").alias("_mark"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), mark.alias("mark"))
+    return (rows.join(best, F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left_semi")
+            .dropDuplicates(["id", "mark"]).select("row.*"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -241,6 +241,20 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -
                         (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, with all their
+    columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, features = sent.value, TextFeatures()
+        for batch in batches:
+            yield batch.filter(pa.array([m.score(t, features) < threshold for t in texts(batch, at)], pa.bool_()))
+
+    at = docs.columns.index("text")
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return score(docs, fit_toxicity(docs, read_table(spark, sf_dir, "labels")))
