@@ -166,8 +166,9 @@ def pack_words(words: list[str]) -> bytes:
 def unpack_words(data: bytes) -> list[str]:
     raw = zlib.decompress(data)
     n = int(np.frombuffer(raw, "<u4", 1)[0])
-    ends = np.cumsum(np.frombuffer(raw, "<u4", n, 4).astype(np.int64)) + 4 * (n + 1)
-    return [raw[a:b].decode() for a, b in zip([4 * (n + 1), *ends[:-1].tolist()], ends.tolist(), strict=True)]
+    lengths = np.frombuffer(raw, "<u4", n, 4).astype(np.int64)
+    ends = np.cumsum(lengths) + 4 * (n + 1)
+    return [raw[a:b].decode() for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
 
 
 # --------------------------------------------------------------- operator

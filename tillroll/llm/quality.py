@@ -183,7 +183,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) ->
     y, x = sparse_rows(labelled(docs, labels, "quality", rows), one)
     if len(set(y.tolist())) < 2:
         return QualityModel(np.zeros(DIM, np.float32), 0.0, 1.0, 0.0, fitted=False)
-    fold = np.arange(len(y)) % 5 == 0
+    fold = np.random.default_rng(0).permutation(len(y)) % 5 == 0
 
     def part(mask: np.ndarray) -> Sparse:
         return Sparse.of([(x.features[x.offsets[i]:x.offsets[i + 1]], x.values[x.offsets[i]:x.offsets[i + 1]])

@@ -44,8 +44,8 @@ UNWANTED = ("ads adult bet bets betting casino cheap dating farm free gambling l
 #: More words that host names are made of.
 KNOWN = ("com net org www blog book cloud daily data digital example forum health home info life live mail media mobile music net news "
          "online shop store tech time travel tube web wiki world").split()
-#: Count that a stated word has besides its occurrences.
-STATED = 50
+#: Weight of a stated word besides that of its occurrences (a logarithm).
+STATED = 500.0
 MAX_WORD = 20
 SALTS = 32
 BUCKETS = 1 << 16
@@ -81,19 +81,23 @@ def words(text: Column) -> Column:
 # ----------------------------------------------------------- segmentation
 
 def unigrams(hosts: DataFrame, paths: DataFrame) -> DataFrame:
-    """(word, n): of every url's host and path, and the stated words.
-    ``hosts(host, n)`` and ``paths(path, n)`` are distinct, with counts."""
+    """(word, n): weights of the words of every url's host and path, and of the
+    stated words.  ``hosts(host, n)`` and ``paths(path, n)`` are distinct, with
+    counts; a word weighs as the logarithm of its count, so that a joined name
+    that is seen often doesn't outweigh the words that it is made of."""
     # a label that is one run of letters may be several words, so it is no word
     parted = hosts.select(F.explode(F.split("host", "[.]")).alias("label"), "n").select(
         words(F.col("label")).alias("w"), "n").filter(F.size("w") > 1)
     seen = parted.select(F.explode("w").alias("word"), "n").unionByName(
         paths.select(F.explode(words(F.col("path"))).alias("word"), "n"))
-    stated = hosts.sparkSession.createDataFrame([(w, STATED) for w in [*UNWANTED, *KNOWN]], "word string, n long")
-    return seen.unionByName(stated).groupBy("word").agg(F.sum("n").alias("n")).filter(F.length("word") <= MAX_WORD)
+    stated = F.when(F.col("word").isin([*UNWANTED, *KNOWN]), STATED).otherwise(0.0)
+    known = hosts.sparkSession.createDataFrame([(w, 0) for w in [*UNWANTED, *KNOWN]], "word string, n long")
+    return (seen.unionByName(known).filter(F.length("word") <= MAX_WORD)
+            .groupBy("word").agg(F.sum("n").alias("n")).select("word", (F.log1p("n") + stated).alias("n")))
 
 
-def viterbi(label: str, pieces: dict[str, int], total: float) -> list[str]:
-    """The likeliest split of ``label``: known words by their counts, an
+def viterbi(label: str, pieces: dict[str, float], total: float) -> list[str]:
+    """The likeliest split of ``label``: known words by their weights, an
     unknown one costs ten times more with each letter."""
     n = len(label)
     best = [0.0] + [-math.inf] * n
