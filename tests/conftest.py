@@ -17,7 +17,6 @@ def spark():
          .config("spark.ui.enabled", "false")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.checkpoint.dir", ckpt)
-         .config("spark.driver.extraJavaOptions", "-XX:-DontCompileHugeMethods")
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     from tillroll.session import ensure_checkpoint_dir

@@ -123,3 +123,20 @@ def test_colour_and_size(spark):
     assert [r["s"] for r in rows] == ["256GB", None, None, "45mm", None]
     demo = df.select(X.extract_size("n", F.lit("demo unit")).alias("s")).collect()
     assert all(r["s"] is None for r in demo)
+
+
+def test_commas_must_group_thousands(spark):
+    assert _col(spark, ["1,234", "12,5", "1,2,3", "-1,234,567.25", "7", None], M.comma_to_number) == [
+        1234.0, None, None, -1234567.25, 7.0, None]
+
+
+def test_unpadded_times_and_typed_dates(spark):
+    from pyspark.sql import functions as F
+
+    from tillroll.functions import dates as D
+    df = spark.createDataFrame([("20:5",), ("8:5am",), ("20:30:0",), ("7",)], "t string")
+    assert [r[0] for r in df.select(D.time_of_day(D.parse_time("t"))).collect()] == ["20:05:00", "08:05:00", "20:30:00", None]
+    day = spark.sql("SELECT timestamp'2024-03-05 10:11:12' AS a, timestamp_ntz'2024-03-05 10:11:12' AS b, date'2024-03-05' AS c, '5-3-2024' AS d, 'x' AS e")
+    got = day.select(*[D.parse_date(c).cast("string").alias(c) for c in "abcde"]).first()
+    assert list(got) == ["2024-03-05"] * 4 + [None]
+    assert F is not None

@@ -52,7 +52,7 @@ def _pchip_ref(x, y, xs):
 def test_pchip_matches_reference_formulas(spark):
     vals = [None, 3.0, None, 5.0, 9.0, None, None, 4.0, 4.5, None, 10.0, None]
     df = spark.createDataFrame([("s", i, v) for i, v in enumerate(vals)], "s string, t int, v double")
-    got = {r["t"]: r["f"] for r in pchip_fill(df, ["s"], "t", "v", "f").collect()}
+    got = {r["t"]: r["f"] for r in pchip_fill(df, ["s"], "t", "v", "f", extrapolate=False).collect()}
     kx = [i for i, v in enumerate(vals) if v is not None]
     ky = [vals[i] for i in kx]
     inner = [i for i, v in enumerate(vals) if v is None and kx[0] < i < kx[-1]]
@@ -61,7 +61,7 @@ def test_pchip_matches_reference_formulas(spark):
         assert got[i] == pytest.approx(ref[i], rel=1e-12)
     assert got[0] is None and got[11] is None           # leading / trailing stay null
     assert got[1] == 3.0                                 # known values kept
-    ext = {r["t"]: r["f"] for r in pchip_fill(df, ["s"], "t", "v", "f", extrapolate=True).collect()}
+    ext = {r["t"]: r["f"] for r in pchip_fill(df, ["s"], "t", "v", "f").collect()}
     assert ext[11] is not None and ext[0] is None
 
 
@@ -114,14 +114,17 @@ def test_classify_by_name():
     assert set(pending) == {"ship_amount", "phone", "xyz"}
 
 
-def test_profile_sample_modes(spark):
+def test_content_decisions(spark):
+    """Boolean, date, phone, number, category and text by content; padded and
+    differently written values count as they should."""
     from tillroll.operators.profile import classify_columns
-    rows = [(i, "yes" if i % 2 else "no", f"{i % 40}", "0901234567" if i <= 1000 else "x")
-            for i in range(1, 3001)]
-    df = spark.createDataFrame(rows, "pos long, flag_x string, grp string, contact string")
-    allp, _ = classify_columns(df, ["flag_x", "grp", "contact"])
-    headp, _ = classify_columns(df, ["flag_x", "grp", "contact"], sample="head")
-    assert "flag_x" in allp["boolean_col"] and "flag_x" in headp["boolean_col"]
-    assert "contact" in headp["phone_col"] and "contact" not in allp["phone_col"]
-    fr, _ = classify_columns(df, ["flag_x"], sample=0.5)
-    assert "flag_x" in fr["boolean_col"]
+    rows = [("Yes " if i % 3 else " no", f"{1 + i % 28}/{1 + i % 12}/2024", f"09{i:08d}", f"{i},{i:03d}.5" if i else "0",
+             f"group {i % 30}", f"text {i}", str(i % 3), "  " * (i % 40) + "same", None, 1.5 * i)
+            for i in range(600)]
+    df = spark.createDataFrame(rows, "flag string, when_x string, contact string, worth string, kindx string, note string, "
+                                     "few string, padded string, empty string, amt double")
+    pockets, _ = classify_columns(df)
+    flat = {c: p for p, cs in pockets.items() for c in cs}
+    assert flat == {"flag": "boolean_col", "when_x": "date_col", "contact": "phone_col", "worth": "numeric_col",
+                    "kindx": "category_col", "note": "string_col", "few": "numeric_col", "padded": "string_col",
+                    "empty": "string_col", "amt": "numeric_col"}

@@ -30,9 +30,9 @@ EXTRA_DATE_PATTERNS = [
     ("MMMM d, yyyy", r"^[a-z]+ \d{1,2}, \d{4}$"),
 ]
 TIME_PATTERNS = [
-    ("h:mma", r"^\d{1,2}:\d{2}(AM|PM)$"),
-    ("H:mm:ss", r"^\d{1,2}:\d{2}:\d{2}$"),
-    ("H:mm", r"^\d{1,2}:\d{2}$"),
+    ("h:ma", r"^\d{1,2}:\d{1,2}(AM|PM)$"),
+    ("H:m:s", r"^\d{1,2}:\d{1,2}:\d{1,2}$"),
+    ("H:m", r"^\d{1,2}:\d{1,2}$"),
 ]
 
 
@@ -49,7 +49,10 @@ def parse_date(c: str | Column) -> Column:
     """``Y-m-d`` else ``d-m-Y`` else null (unpadded parts accepted,
     trailing text rejected).  Date/timestamp input is passed through."""
     c = _col(c)
-    return F.coalesce(*[F.when(c.rlike(shape), F.try_to_date(c, p)) for p, shape in (YMD, DMY)])
+    text = c.cast("string")
+    typed = F.typeof(c).isin("date", "timestamp", "timestamp_ntz")
+    return F.when(typed, c.try_cast("date")).otherwise(F.coalesce(*[
+        F.when(text.rlike(shape), F.try_to_date(text, p)) for p, shape in (YMD, DMY)]))
 
 
 def parse_date_lenient(c: str | Column,
@@ -69,8 +72,8 @@ def parse_date_lenient(c: str | Column,
 
 
 def parse_time(c: str | Column) -> Column:
-    """``h:mm am/pm`` else ``H:mm:ss`` else ``H:mm``; a time of day on
-    the base day 1900-01-01 (TimestampNTZ)."""
+    """``h:mm am/pm`` else ``H:mm:ss`` else ``H:mm``, unpadded parts
+    accepted; a time of day on the base day 1900-01-01 (TimestampNTZ)."""
     c = F.upper(F.trim(_col(c)))
     any_shape = _anchored_union([shape for _, shape in TIME_PATTERNS])
     t = F.when(c.rlike(any_shape), F.coalesce(*[

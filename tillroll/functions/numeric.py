@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 # keeps those null, as a coercing parse in the reference does.
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 NUMBER_FIRST_CHARS = list("0123456789+-.\t\n\r\f\x0b")
+# Thousands in groups of three.
+GROUPED_PATTERN = r"^\s*[+-]?\d{1,3}(,\d{3})+(\.\d*)?\s*$"
 # Whole-value sentinels that mean "missing" (fixed values).
 SENTINELS_BASIC = ["", "N/A", "na", "n/a", "NaN"]
 SENTINELS_DATE = ["", "nan", "nat", "none"]
@@ -36,8 +38,11 @@ def to_number(c: str | Column, is_string: bool = True) -> Column:
 
 
 def comma_to_number(c: str | Column) -> Column:
-    """P2: '1,234.50' -> 1234.5."""
-    return to_number(F.regexp_replace(_col(c).cast("string"), ",", ""))
+    """P2: '1,234.50' -> 1234.5; commas that don't group thousands ('12,5')
+    are not a number."""
+    text = _col(c).cast("string")
+    grouped = text.rlike(GROUPED_PATTERN)
+    return to_number(F.when(grouped, F.translate(text, ",", "")).otherwise(text))
 
 
 def sentinel_to_null(c: str | Column, words: Sequence[str] = SENTINELS_BASIC) -> Column:

@@ -4,8 +4,8 @@ x is the row position inside the series (0, 1, 2, ... by ``order_col``), y the
 value.  Derivatives at the known points follow the usual PCHIP rules
 (weighted harmonic mean inside, three-point one-sided formula with the
 monotonicity fixes at the ends, linear when only two points are known).
-Nulls before the first known point stay null; after the last one they stay
-null unless ``extrapolate``.
+Nulls before the first known point stay null; those after the last one are
+extrapolated unless ``extrapolate`` is false.
 
 Windows are partitioned by series: one row per series and day, so a
 partition is bounded by the calendar, not by the data volume.
@@ -28,7 +28,7 @@ def _edge(h0: Column, h1: Column, m0: Column, m1: Column) -> Column:
 
 
 def pchip_fill(df: DataFrame, series_cols: Sequence[str], order_col: str, value_col: str,
-               out_col: str, extrapolate: bool = False) -> DataFrame:
+               out_col: str, extrapolate: bool = True) -> DataFrame:
     s = list(series_cols)
     w = Window.partitionBy(*s).orderBy(order_col)
     base = df.withColumn("_x", (F.row_number().over(w) - 1).cast("double"))

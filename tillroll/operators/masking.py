@@ -27,7 +27,7 @@ LOW_QUANTILE = 0.15
 def mask_series(df: DataFrame, series_cols: Sequence[str], order_col: str, metric: str,
                 scale: tuple[float, float], seed: int, out_col: str | None = None,
                 noise_sd: float = SERIES_NOISE_SD, low_quantile: float = LOW_QUANTILE,
-                extrapolate: bool = False) -> DataFrame:
+                extrapolate: bool = True) -> DataFrame:
     s = list(series_cols)
     out_col = out_col or f"new_{metric}"
     # one row per series: bounded by the number of series

@@ -28,7 +28,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,12 +35,21 @@ from tillroll.session import materialize
 
 DEFAULT_BUCKET_ROWS = 1 << 20   # rows per halo bucket (≈ one task's worth)
 DEFAULT_BLOCK_ROWS = 1 << 20    # rows of pos per block in fill_within_groups
+MAX_PARTITIONS = 100_000
+
+
+PARTITION_BYTES = 128 << 20     # estimated input of one range partition
 
 
 def _num_partitions(df: DataFrame, requested: int | None) -> int:
+    """Range partitions for ``df``: by the optimizer's size estimate, at least
+    the session's shuffle partitions (the estimate of a join can be far too
+    large, so it is held to MAX_PARTITIONS)."""
     if requested:
         return requested
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(size // PARTITION_BYTES + 1, MAX_PARTITIONS))
 
 
 def with_position(df: DataFrame, order_cols: Sequence[str | Column], pos_col: str = "pos",
@@ -53,11 +61,8 @@ def with_position(df: DataFrame, order_cols: Sequence[str | Column], pos_col: st
     spark = df.sparkSession
     n = _num_partitions(df, num_partitions)
     keys = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    # The range partitioner samples its input in a job of its own; keep the
-    # input so that the sample and the shuffle do not both recompute it.
-    src = df.persist(StorageLevel.MEMORY_AND_DISK) if checkpoint else df
     numbered = (
-        src.repartitionByRange(n, *[k.asc_nulls_first() for k in keys])
+        df.repartitionByRange(n, *[k.asc_nulls_first() for k in keys])
         .sortWithinPartitions(*[k.asc_nulls_first() for k in keys])
         .withColumn("_pid", F.spark_partition_id())
         # monotonically_increasing_id = (partition index << 33) + row index
@@ -66,7 +71,6 @@ def with_position(df: DataFrame, order_cols: Sequence[str | Column], pos_col: st
     )
     if checkpoint:
         numbered = materialize(numbered, "positions")
-        src.unpersist()
     # One row per partition: its size is bounded by the partition count.
     offsets = (
         numbered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))

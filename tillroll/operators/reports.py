@@ -8,7 +8,9 @@ whose size is bounded by the calendar, not by the data.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -91,15 +93,13 @@ def category_summary(df: DataFrame, group_col: str, revenue_col: str = "revenue"
 
 
 def dense_group_summary(df: DataFrame, group_cols: Sequence[str], revenue_col: str = "revenue",
-                        qty_col: str = "qty", customer_col: str = "id",
-                        max_values_per_key: int = 10_000) -> DataFrame:
+                        qty_col: str = "qty", customer_col: str = "id") -> DataFrame:
     """A3: like A2 over every combination of the observed values of the keys
     (absent combinations: sums 0, mean null, distinct 0).
 
-    The keys are categorical: each key's domain is gathered as one small
-    array (bounded; a key with more than ``max_values_per_key`` values fails
-    the query instead of growing the grid) and the grid is generated by
-    exploding those arrays, then left-joined to the aggregate."""
+    The grid is the product of the keys' distinct values, which is what the
+    report returns, so the product makes no row that isn't a result row; it is
+    left-joined to the aggregate."""
     g = list(group_cols)
     base = df
     for c in g:
@@ -109,18 +109,8 @@ def dense_group_summary(df: DataFrame, group_cols: Sequence[str], revenue_col: s
                 F.avg(revenue_col).alias("mean_revenue"),
                 F.sum(qty_col).alias("total_quantity"),
                 F.count_distinct(customer_col).alias("cust_count")))
-    # collect_set skips nulls: each domain is the key's own non-null values
-    doms = df.agg(*[F.collect_set(c).alias(f"_dom_{c}") for c in g])
-    for c in g:
-        arr = F.col(f"_dom_{c}")
-        doms = doms.withColumn(f"_dom_{c}", F.when(
-            F.size(arr) > max_values_per_key,
-            F.raise_error(F.lit(f"dense_group_summary: key {c} is not categorical"))
-        ).otherwise(arr))
-    grid = doms
-    for c in g:
-        grid = grid.withColumn(c, F.explode(f"_dom_{c}"))
-    grid = grid.select(*g)
+    domains = [df.select(c).filter(F.col(c).isNotNull()).distinct() for c in g]
+    grid = reduce(lambda a, b: a.crossJoin(b), domains)
     out = grid.join(agg, g, "left")
     return out.select(
         *g,
@@ -143,12 +133,6 @@ def value_counts(df: DataFrame, col: str, out_col: str = "count") -> DataFrame:
             .orderBy(F.col(out_col).desc(), F.col(col)))
 
 
-def column_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Exact median and mean of numeric columns, one row."""
-    return df.agg(*[e for c in cols for e in (
-        F.percentile(F.col(c), 0.5).alias(f"{c}_median"), F.avg(c).alias(f"{c}_mean"))])
-
-
 def second_smallest_and_largest(df: DataFrame, group_cols: Sequence[str], value_col: str,
                                 lo_col: str = "lo", hi_col: str = "hi") -> DataFrame:
     """Per group the 2nd smallest value (ties count; the minimum when the
@@ -168,31 +152,61 @@ def second_smallest_and_largest(df: DataFrame, group_cols: Sequence[str], value_
     return out.drop("_all")
 
 
+def exact_quantiles(df: DataFrame, cols: Sequence[str], q: float, blocks: int = 256) -> DataFrame:
+    """Exact quantile (linear interpolation) of each column: rows (column, n,
+    mean, quantile).
+
+    The columns become (column, value) rows.  Approximate quantiles cut each
+    column's values into blocks (a bounded array); the blocks' row counts say
+    which one or two blocks hold the wanted ranks; only their rows are grouped
+    by value and ranked by running counts.  Equal values are counted before
+    any shuffle, so a tied value is never a hot key."""
+    values = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols])).alias("x")
+    ).select("x.*").filter(F.col("v").isNotNull())
+    shares = [i / blocks for i in range(1, blocks)]
+    row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), shares, 10 * blocks).alias(c) for c in cols]).first()
+    cuts = {c: sorted(set(row[c] or [])) for c in cols}
+    block = F.lit(0)
+    for c in cols:
+        if cuts[c]:
+            block = F.when(F.col("column") == c, F.size(F.filter(F.lit(cuts[c]), lambda x: x < F.col("v")))).otherwise(block)
+    placed = values.withColumn("block", block)
+    # at most ``blocks`` rows a column
+    sizes = placed.groupBy("column", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s")).collect()
+    wanted, facts = F.lit(False), []
+    for c in cols:
+        own = sorted((r["block"], r["n"], r["s"]) for r in sizes if r["column"] == c)
+        total = sum(n for _, n, _ in own)
+        if not total:
+            continue
+        lo = math.floor((total - 1) * q)
+        hi, before, base = math.ceil((total - 1) * q), 0, None
+        for b, n, _ in own:
+            if before + n > lo and before <= hi:
+                base = before if base is None else base
+                wanted = wanted | ((F.col("column") == c) & (F.col("block") == b))
+            before += n
+        facts.append((c, total, sum(s for *_, s in own) / total, lo - base, hi - base, (total - 1) * q - lo))
+    fact = df.sparkSession.createDataFrame(
+        facts, "column string, n long, mean double, lo long, hi long, part double")
+    counted = placed.filter(wanted).groupBy("column", "v").agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("column").orderBy("v"))
+    ranked = counted.select("column", "v", upto.alias("end"), (upto - F.col("c")).alias("start"))
+    at = {k: F.max(F.when((F.col("start") <= F.col(k)) & (F.col(k) < F.col("end")), F.col("v"))) for k in ("lo", "hi")}
+    return (ranked.join(fact, "column").groupBy("column", "n", "mean", "part")
+            .agg(at["lo"].alias("a"), at["hi"].alias("b"))
+            .select("column", "n", "mean", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("quantile")))
+
+
 def exact_quantile(df: DataFrame, value_col: str, q: float, out_col: str = "quantile") -> DataFrame:
-    """Exact quantile with linear interpolation, distributed: the values are
-    numbered in sorted order (range partitioning, no single-partition window),
-    and only the two rows around rank (n - 1) * q are read back.  One row."""
-    from tillroll.operators.ordering import with_position
-
-    v = df.select(F.col(value_col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    ranked = with_position(v, ["_v"], pos_col="_r", start=0)
-    target = ranked.agg(F.count(F.lit(1)).alias("_n")).select(
-        ((F.col("_n") - 1) * F.lit(float(q))).alias("_t"))
-    target = target.select("_t", F.floor("_t").alias("_lo"), F.ceil("_t").alias("_hi"))
-    # one-row frame: broadcast
-    picks = ranked.join(F.broadcast(target),
-                        (F.col("_r") == F.col("_lo")) | (F.col("_r") == F.col("_hi")))
-    lo_v = F.max(F.when(F.col("_r") == F.col("_lo"), F.col("_v")))
-    hi_v = F.max(F.when(F.col("_r") == F.col("_hi"), F.col("_v")))
-    frac = F.max(F.col("_t") - F.col("_lo"))
-    return picks.agg((lo_v + (hi_v - lo_v) * frac).alias(out_col))
+    """One column's exact quantile, one row."""
+    return exact_quantiles(df, [value_col], q).select(F.col("quantile").alias(out_col))
 
 
 def column_stats_exact(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """A9 at scale: exact median (sort-based) and mean of each column, one row
-    with ``{c}_median`` and ``{c}_mean``."""
-    out = df.agg(*[F.avg(c).alias(f"{c}_mean") for c in cols]).withColumn("_k", F.lit(1))
-    for c in cols:
-        med = exact_quantile(df, c, 0.5, f"{c}_median").withColumn("_k", F.lit(1))
-        out = out.join(med, "_k")   # single-row frames
-    return out.drop("_k")
+    """Exact median and mean of each column, one row with ``{c}_median``
+    and ``{c}_mean``."""
+    found = exact_quantiles(df, cols, 0.5)
+    return found.agg(*[F.max(F.when(F.col("column") == c, F.col(v))).alias(f"{c}_{name}")
+                       for c in cols for name, v in (("mean", "mean"), ("median", "quantile"))])

@@ -406,9 +406,7 @@ def q_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = sales_view(spark, sf_dir).select(
         F.col("invoice").alias("Invoice No"), F.col("date").alias(" Date"),
         F.col("name").alias("Customer  Name"))
-    (s.write.mode("overwrite").option("header", True)
-     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-     .csv(path))
+    write_csv(s, path)
     return read_csv_strings(spark, path)
 
 
@@ -454,36 +452,32 @@ from tillroll.sources.csv_io import append_aligned  # noqa: E402
 
 
 def q_event_impact_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S3 + P8: the event report as SQL text over frames registered by name."""
+    """S3 + P8: the event report as SQL text over frames registered by name:
+    a daily frame, a one-row frame of the two means, and one projection."""
     orders = read_table(spark, sf_dir, "orders", ["o_orderdate", "o_totalprice"])
-    src = CL.recast(orders.withColumnRenamed("o_orderdate", "date")
-                    .withColumnRenamed("o_totalprice", "revenue"), {"date": "date"})
-    src.createOrReplaceTempView("tillroll_sales_src")
-    ev = f"date >= DATE'{EVENT_START}' AND date <= DATE'{ANALYSIS_END}'"
-    out = spark.sql(f"""
-        WITH pre AS (
-            SELECT date, SUM(revenue) AS revenue_by_date FROM tillroll_sales_src GROUP BY date
-        ), raw AS (
-            SELECT *, ROUND(AVG(revenue_by_date) OVER (ORDER BY date ASC NULLS LAST
-                   ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 0) AS rolling_7day FROM pre
-        ), s AS (
-            SELECT *, ROUND(SQRT(revenue_by_date), 0) AS sqrt_revenue,
-                   ROUND(SQRT(rolling_7day), 0) AS sqrt_rolling,
-                   CASE WHEN {ev} THEN ROUND(SQRT(rolling_7day), 0) END AS sqrt_event_launching,
-                   CASE WHEN {ev} THEN 1 ELSE 0 END AS is_after_event
-            FROM raw
-        ), m AS (
-            SELECT *, AVG(CASE WHEN is_after_event = 0 THEN revenue_by_date END) OVER () AS rbm,
-                      AVG(CASE WHEN is_after_event = 1 THEN revenue_by_date END) OVER () AS ram
-            FROM s
-        )
-        SELECT *, CASE WHEN is_after_event = 0 THEN rbm END AS raw_before_event_mean,
-                  CASE WHEN is_after_event = 1 THEN ram END AS raw_after_event_mean,
-                  CASE WHEN is_after_event = 0 THEN SQRT(rbm) END AS sqrt_before_event_mean,
-                  CASE WHEN is_after_event = 1 THEN SQRT(ram) END AS sqrt_after_event_mean,
-                  (try_divide(ram, rbm) - 1) * 100 AS event_increase
-        FROM m""")
-    # one row per day: the unpartitioned windows above see the daily frame only
+    CL.recast(orders.selectExpr("o_orderdate AS day", "o_totalprice AS amount"),
+              {"day": "date"}).createOrReplaceTempView("tillroll_amounts")
+    spark.sql(f"""
+        SELECT day, sum(amount) AS total,
+               coalesce(day BETWEEN DATE'{EVENT_START}' AND DATE'{ANALYSIS_END}', false) AS launched
+        FROM tillroll_amounts GROUP BY day""").createOrReplaceTempView("tillroll_days")
+    spark.sql("""
+        SELECT avg(total) FILTER (WHERE NOT launched) AS calm, avg(total) FILTER (WHERE launched) AS busy
+        FROM tillroll_days""").createOrReplaceTempView("tillroll_means")
+    # the ordered window sees one row per day
+    out = spark.sql("""
+        SELECT day AS date, total AS revenue_by_date, week AS rolling_7day,
+               round(sqrt(total), 0) AS sqrt_revenue, round(sqrt(week), 0) AS sqrt_rolling,
+               if(launched, round(sqrt(week), 0), NULL) AS sqrt_event_launching,
+               int(launched) AS is_after_event, calm AS rbm, busy AS ram,
+               if(launched, NULL, calm) AS raw_before_event_mean, if(launched, busy, NULL) AS raw_after_event_mean,
+               if(launched, NULL, sqrt(calm)) AS sqrt_before_event_mean, if(launched, sqrt(busy), NULL) AS sqrt_after_event_mean,
+               100 * try_divide(busy - calm, calm) AS event_increase
+        FROM (
+            SELECT *, round(avg(total) OVER back, 0) AS week,
+                   (SELECT calm FROM tillroll_means) AS calm, (SELECT busy FROM tillroll_means) AS busy
+            FROM tillroll_days WINDOW back AS (ORDER BY day NULLS LAST ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)
+        )""")
     return R.round_numeric(out, 2)
 
 

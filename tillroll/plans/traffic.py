@@ -12,10 +12,9 @@ from tillroll.operators.masking import mask_series
 
 
 def traffic_table(parts: list[DataFrame], holidays: DataFrame) -> DataFrame:
-    """U2 + J3 + O1.  The calendar has one row per holiday (bounded by the
-    calendar), so it is broadcast."""
+    """U2 + J3 + O1.  Spark broadcasts the calendar if its size allows it."""
     allp = reduce(lambda a, b: a.unionByName(b), parts)
-    return (allp.join(F.broadcast(holidays), "period", "left")
+    return (allp.join(holidays, "period", "left")
             .select("series", "period", "traffic", "event_name")
             .orderBy(F.col("series"), F.col("period").asc_nulls_last()))
 

@@ -27,10 +27,6 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("TILLROLL_DRIVER_MEMORY", "16g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        # wide CASE/aggregate projections compile to large methods; let the
-        # JIT compile them instead of interpreting the bytecode
-        .config("spark.driver.extraJavaOptions", "-XX:-DontCompileHugeMethods")
-        .config("spark.executor.extraJavaOptions", "-XX:-DontCompileHugeMethods")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
