@@ -21,7 +21,8 @@ DISC_COLS = ["disc_percent", "disc_amount"]
 # Categories treated as the own-brand group in the fixtures.
 FIXTURE_OWN_BRAND = ["PROMO", "ECONOMY"]
 
-SALES_ORDER_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+SALES_ORDER_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+                    "l_discount"]
 
 
 def _h() -> Column:
