@@ -70,8 +70,3 @@ def assert_rules(rules: DataFrame) -> None:
 def key_validity(df: DataFrame, key: Column, name: str = "valid_pct") -> DataFrame:
     """D3: share of rows whose key is valid, in percent."""
     return df.agg((F.avg(key.isNotNull().cast("double")) * F.lit(100.0)).alias(name))
-
-
-def counters(values: Mapping[str, object]) -> list[tuple[str, str]]:
-    """Pipeline counters as (name, value) text pairs for a metrics table."""
-    return [(k, str(v)) for k, v in values.items()]

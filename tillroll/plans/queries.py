@@ -370,7 +370,8 @@ from tillroll.operators import quality as Q  # noqa: E402
 from tillroll.plans.product_master import product_master  # noqa: E402
 from tillroll.plans.sales import SalesConfig, sales_pipeline  # noqa: E402
 from tillroll.session import ensure_checkpoint_dir  # noqa: E402
-from tillroll.sources.csv_io import read_csv_strings, write_csv  # noqa: E402
+from tillroll.functions.names import find_column, insert_column, reorder  # noqa: E402
+from tillroll.sources.csv_io import read_csv_projected, read_csv_strings, write_csv  # noqa: E402
 
 
 def q_quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -511,3 +512,54 @@ def q_reprice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["reprice"] = q_reprice
+
+
+def q_reprice_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B4 from each row's own origin price, then B5."""
+    lines = materialize(_filled_revenue(spark, sf_dir, with_pos=True), "reprice-lines")
+    priced = RV.fill_origin_price(lines, ratio_from="row").select("pos", "ean", "price_ratio")
+    masked = _product_master(spark, sf_dir).select(
+        X.normalize_key(F.col("ean").cast("string")).alias("ean"), "new_price")
+    out = priced.join(masked, "ean", "left").select(
+        "pos", "ean", "price_ratio", RV.reprice(F.col("new_price"), F.col("price_ratio")).alias("price"))
+    return R.round_numeric(out, 4)
+
+
+def q_payment_groups_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B6 with the reference's rounding."""
+    s = sales_view(spark, sf_dir).select("invoice", "revenue", *PAYMENT_COLS)
+    return R.round_numeric(RV.payment_ratios(s, literal_rounding=True), 4)
+
+
+def q_header_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H1b (crlf, raw), H4-H6, H8, H9 on lines with untidy headers."""
+    s = sales_view(spark, sf_dir)
+    df = normalize_headers(s.select(
+        F.col("invoice").alias(" Invoice No"), F.col("qty").alias("Qty\r\nSold"),
+        F.col("price").alias("Unit  Price"), "sa"), "crlf")
+    price, qty = find_column(df.columns, "PRICE"), find_column(df.columns, "^qty", "error")
+    none = find_column(df.columns, "^(sa|qty)", "none")
+    df = insert_column(df, 1, "amount", F.col(price) * F.col(qty))
+    df = reorder(df, ["sa", "absent"]).withColumn("ambiguous", F.lit(none is None))
+    return normalize_headers(R.round_numeric(df.withColumnRenamed("sa", " Sold By"), 4), "raw")
+
+
+def q_csv_projected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S4 then S2: typed projection of a CSV."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    write_csv(sales_view(spark, sf_dir).select("invoice", "date", "qty", "price", "name"), path)
+    return read_csv_projected(spark, path, {
+        "invoice": F.col("invoice").cast("long"), "qty": F.col("qty").cast("int"),
+        "price": M.to_number("price"), "name": None})
+
+
+def q_rules_asserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D2 as hard checks, on lines that keep the rules."""
+    rules = Q.quality_rules(sales_view(spark, sf_dir).filter("qty >= 0"))
+    Q.assert_rules(rules)
+    return rules
+
+
+QUERIES.update({"reprice_row": q_reprice_row, "payment_groups_literal": q_payment_groups_literal,
+                "header_tools": q_header_tools, "csv_projected": q_csv_projected,
+                "rules_asserted": q_rules_asserted})
