@@ -29,9 +29,11 @@ an error; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +46,19 @@ from tillroll.llm.common import RaggedTable, Symbols, documents, ragged_take
 from tillroll.session import materialize
 
 #: A block is closed when it has so many characters.
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 16_000_000
+#: Bytes of ids in a batch that goes back to Spark.
+BATCH_BYTES = 2_000_000
 #: A white-space run in which splitting at spaces would cut a match.
 RUNS = regex.compile(r"\s \s|\s $")
+#: White space besides space and line feed.
+OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def has_runs(text: str) -> bool:
+    """``RUNS.search``, behind cheaper looks for two white spaces in a row."""
+    return ("  " in text or " \n" in text or "\n " in text or OTHER_SPACE.search(text) is not None) and (
+        RUNS.search(text) is not None)
 
 
 # ------------------------------------------------------------- vocabulary
@@ -87,8 +99,13 @@ def token_bytes(spark: SparkSession, path: str) -> DataFrame:
 
 # ------------------------------------------------------------- pre-tokens
 
+#: Marks that are a match of their own behind letters.
+MARKS = tuple(".,;:!?")
+
+
 class Block:
-    """The distinct pre-tokens of some texts, and the texts as their numbers.
+    """The distinct pre-tokens of some texts, and the texts as their numbers;
+    ``pattern`` is the vocabulary's.
 
     Texts are first split at single spaces, where no match can cross, into
     segments; a distinct segment is matched against the pattern once."""
@@ -102,14 +119,25 @@ class Block:
         self.chars = 0
         self.content = xxhash.xxh3_64()
 
+    def _pieces(self, segment: str) -> list[str]:
+        """The pattern's matches in a segment.  Letters behind at most one space
+        are one match, with one mark behind them two; that needs no search."""
+        letters = segment[1:] if segment[:1] == " " else segment
+        if letters.isalpha():
+            return [segment]
+        if letters[-1:] in MARKS and letters[:-1].isalpha():
+            return [segment[:-1], segment[-1]]
+        return self.pattern.findall(segment)
+
     def _cut(self) -> None:
-        self.parts.extend([self.words.number(self.pattern.findall(s)).tolist() for s in self.segments.take_fresh()])
+        number = self.words.__getitem__
+        self.parts.extend([[number(w) for w in self._pieces(s)] for s in self.segments.take_fresh()])
 
     def add(self, doc_id: int | None, text: str) -> None:
         self.chars += len(text)
         self.content.update(b"%d %d " % (-1 if doc_id is None else doc_id, len(text)))
         self.content.update(text.encode())
-        if RUNS.search(text):
+        if has_runs(text):
             segments = self.pattern.findall(text)
         else:
             first, *rest = text.split(" ")
@@ -119,7 +147,7 @@ class Block:
     def name(self) -> int:
         return self.content.intdigest() - (1 << 63)
 
-    def close(self) -> tuple[list[str], list[tuple[int | None, np.ndarray]]]:
+    def close(self) -> tuple[list[str], Iterator[tuple[int | None, np.ndarray]]]:
         """Distinct pre-tokens, frequent ones first, and each document's
         numbers."""
         self._cut()
@@ -130,7 +158,7 @@ class Block:
         rank[order] = np.arange(len(order))
         self.parts.flat = rank[self.parts.flat]
         words = list(self.words)
-        return [words[i] for i in order], [(i, self.parts.take(d.astype(np.int64))[0]) for i, d in self.docs]
+        return [words[i] for i in order], ((i, self.parts.take(d.astype(np.int64))[0]) for i, d in self.docs)
 
 
 def blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[tuple[int, Block]]:
@@ -227,51 +255,89 @@ def _positions(docs: DataFrame, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, block in blocks(batches, pattern):
             _, found = block.close()
-            for a in range(0, len(found), 256):
-                part = found[a:a + 256]
+            while part := [(i, pack(n)) for i, n in islice(found, 256)]:
                 yield pa.RecordBatch.from_arrays([
                     pa.array([number] * len(part), pa.int64()), pa.array([i for i, _ in part], pa.int64()),
-                    pa.array([pack(n) for _, n in part], pa.binary())], schema=schema)
+                    pa.array([n for _, n in part], pa.binary())], schema=schema)
 
     return docs.mapInArrow(run, "block long, doc_id long, numbers binary")
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-           stable: bool = True) -> DataFrame:
-    """(doc_id, n_tokens, ids), ``ids`` little-endian unsigned 32-bit integers,
-    a row per row of ``docs``."""
+def _asked(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str, stable: bool) -> DataFrame:
+    """(block, doc_id, kind, places, lengths, ids), by block: first the rows
+    with its words' ids (kind 0), then its documents (kind 1)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if not stable:
         rows = materialize(rows, "texts")
     parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     words = _block_words(rows, pattern, parts).repartition("part").sortWithinPartitions("part")
     empty = F.lit(None).cast("binary")
-    # of a block, first the rows with its words' ids, then its documents
     both = _encode_words(words, path, pattern).select(
         "block", F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("kind"), "places", "lengths", "ids").unionByName(
         _positions(rows, pattern).select("block", "doc_id", F.lit(1).alias("kind"), F.col("numbers").alias("places"),
                                          empty.alias("lengths"), empty.alias("ids")))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+    return both.repartition("block").sortWithinPartitions("block", "kind")
+
+
+ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, got, table = None, [], None
-        for batch in batches:
-            out: list[list] = [[], [], []]
-            for b, doc_id, kind, places, lengths, ids in zip(*(batch.column(i) for i in range(6)), strict=True):
-                if b.as_py() != block:
-                    block, got, table = b.as_py(), [], None
-                if kind.as_py() == 0:
-                    got.append((unpack(places.as_py()), unpack(lengths.as_py()), unpack(ids.as_py())))
-                    continue
-                if table is None:
-                    table, got = _table(got), []
-                found, _ = ragged_take(*table, unpack(places.as_py()))
-                for col, v in zip(out, (doc_id.as_py(), len(found), found.astype("<u4").tobytes()), strict=True):
-                    col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
-    return both.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(
-        join, "doc_id long, n_tokens long, ids binary")
+def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's ids by position, from its block's table."""
+    block, got, table = None, [], None
+    cols: list[list] = [[], [], []]
+    size = 0
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, ENCODED, strict=True)], schema=ENCODED)
+
+    for batch in batches:
+        for b, doc_id, kind, places, lengths, ids in zip(*(batch.column(i) for i in range(6)), strict=True):
+            if b.as_py() != block:
+                block, got, table = b.as_py(), [], None
+            if kind.as_py() == 0:
+                got.append((unpack(places.as_py()), unpack(lengths.as_py()), unpack(ids.as_py())))
+                continue
+            if table is None:
+                table, got = _table(got), []
+            found, _ = ragged_take(*table, unpack(places.as_py()))
+            for col, v in zip(cols, (doc_id.as_py(), len(found), found.astype("<u4").tobytes()), strict=True):
+                col.append(v)
+            size += 4 * len(found) + 64
+            if size >= BATCH_BYTES:
+                yield out()
+                cols, size = [[], [], []], 0
+    if cols[0]:
+        yield out()
+
+
+def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Add the bytes of each row's ids, a take from the table of token bytes."""
+    flat, offsets = token_table(path)
+    for batch in batches:
+        for part in (batch.slice(a, 256) for a in range(0, batch.num_rows, 256)):
+            out = []
+            for x in part.column("ids"):
+                ids = np.frombuffer(x.as_py() or b"", "<u4").astype(np.int64)
+                if len(ids) and ids.max() >= len(offsets) - 1:
+                    raise ValueError("an id has no token")
+                out.append(ragged_take(flat, offsets, ids)[0].tobytes())
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=[*part.schema.names, "decoded"])
+
+
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
+           stable: bool = True) -> DataFrame:
+    """(doc_id, n_tokens, ids), ``ids`` little-endian unsigned 32-bit integers,
+    a row per row of ``docs``."""
+    return _asked(docs, path, pattern, id_col, text_col, stable).mapInArrow(
+        _reassemble, "doc_id long, n_tokens long, ids binary")
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
+               stable: bool = True) -> DataFrame:
+    """``decode(encode(docs))`` in one pass of the tasks' Python."""
+    return _asked(docs, path, pattern, id_col, text_col, stable).mapInArrow(
+        lambda batches: _decode(_reassemble(batches), path), "doc_id long, n_tokens long, ids binary, decoded binary")
 
 
 def _table(got: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -291,28 +357,15 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Add ``decoded``, the bytes of ``ids``.  The token-byte table has a row
     per rank of the vocabulary, so each task holds it and joins a document's
     ids with it in one take."""
-    names = encoded.columns
     schema = ", ".join(f"`{n}` {t}" for n, t in encoded.dtypes) + ", decoded binary"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, offsets = token_table(path)
-        for batch in batches:
-            out = []
-            for x in batch.column(names.index("ids")):
-                ids = np.frombuffer(x.as_py() or b"", "<u4").astype(np.int64)
-                if len(ids) and ids.max() >= len(offsets) - 1:
-                    raise ValueError("an id has no token")
-                out.append(ragged_take(flat, offsets, ids)[0].tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*names, "decoded"])
-
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(lambda batches: _decode(batches, path), schema)
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    found = decode(encode(documents(spark, sf_dir), path, pattern), path)
+    found = round_trip(documents(spark, sf_dir), path, pattern)
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
