@@ -84,3 +84,23 @@ def fit_platt(z: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, fl
         if abs(da) + abs(db) < 1e-8:
             break
     return max(a, 0.0), b
+
+
+def fit_smooth(x: Sparse, y: np.ndarray, dim: int, l2: float, steps: int = 100) -> tuple[np.ndarray, float]:
+    """Like ``fit_logistic``, by accelerated gradient steps of one length for
+    all weights: a feature of few rows moves little, so it can't be learned by
+    heart from fractional targets."""
+    if not len(y):
+        return np.zeros(dim), 0.0
+    # a quarter of the mean squared length of a row bounds the curvature
+    rate = 4 / (1 + float(np.square(x.values, dtype=np.float64).sum()) / len(y))
+    w, b = np.zeros(dim), float(np.log((y.mean() + 1e-3) / (1.001 - y.mean())))
+    aw, ab = w.copy(), b
+    for t in range(1, steps + 1):
+        err = (sigmoid(x.dot(aw) + ab) - y) / len(y)
+        nw = aw - rate * (x.transposed_dot(err, dim) + l2 * aw)
+        nb = ab - rate * float(err.sum())
+        k = (t - 1) / (t + 2)
+        aw, ab = nw + k * (nw - w), nb + k * (nb - b)
+        w, b = nw, nb
+    return w, b
