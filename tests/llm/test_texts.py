@@ -224,7 +224,7 @@ def test_components_of_a_chain(spark):
 
 def brute_winnow(t, k=16, w=8):
     grams = [t[i:i + k] for i in range(len(t) - k + 1)] if len(t) >= k else [t] if t else []
-    h = [xxhash.xxh64_intdigest(g.encode(), 42) & 0xFFFFFFFF for g in grams]
+    h = [(xxhash.xxh64_intdigest(g.encode(), 42) + 2**32) % 2**33 - 2**32 for g in grams]  # 33 bits, signed
     windows = [range(i, i + w) for i in range(len(h) - w + 1)] if len(h) > w else [range(len(h))] if h else []
     picks = {min(win, key=lambda i: (h[i], -i)) for win in windows}
     return [(h[i], i) for i in sorted(picks)]

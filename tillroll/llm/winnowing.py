@@ -1,7 +1,7 @@
 """Document fingerprints by winnowing (operator 10), DataFrame functions only.
 
 Every ``k`` consecutive code points of a text are a k-gram; its hash is the low
-32 bits of its XXH64.  In each window of ``window`` consecutive hashes the
+33 bits of its XXH64, as a signed number.  In each window of ``window`` consecutive hashes the
 smallest is selected, the rightmost of equal ones, with its position.  So any
 two texts that share ``window + k - 1`` code points in a row share a selected
 hash.  A text of fewer than ``k`` code points is one gram, an empty text has
@@ -9,6 +9,8 @@ none; fewer hashes than a window are one window.
 
 A hash and its position travel as one long, ``hash * 2^31 + (2^31 - 1 -
 position)``: the smallest long is the smallest hash at its rightmost place.
+Windows' minima are taken by doubling: of 2, 4, 8 ... neighbours, each step the
+smaller of two arrays, one shifted against the other.
 
 The edited text of a document is its first half (rounded up) followed by the
 next document's beginning.  Selection is local, so the selection of the edited
@@ -45,42 +47,54 @@ def gram_hashes(text: Column, k: int = K) -> Column:
     """The packed (hash, position) of every k-gram."""
     grams = F.when(F.char_length(text) >= k, F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{k}}}))."), F.lit(1))) \
         .when(F.char_length(text) > 0, F.array(text)).otherwise(F.array().cast("array<string>"))
-    return F.transform(grams, lambda g, i: F.xxhash64(g).bitwiseAND(0xFFFFFFFF) * PLACES + (PLACES - 1) - i)
+    return F.transform(grams, lambda g, i: F.shiftleft(F.xxhash64(g), 31).bitwiseOR(F.lit(PLACES - 1) - i))
 
 
-def window_minima(packed: Column, window: int = WINDOW) -> Column:
-    """The smallest of each window of neighbours, one per window; a short
+def with_minima(rows: DataFrame, packed: str, into: str, window: int = WINDOW) -> DataFrame:
+    """Add the smallest of each window of neighbours in ``packed``, each once
+    and in order (a minimum stays the choice of neighbouring windows); a short
     array is one window."""
     n = F.size(packed)
-    return F.when(n > window, F.transform(
-        F.slice(packed, F.lit(1), F.greatest(n - window + 1, F.lit(0))),
-        lambda x, i: F.least(x, *(F.get(packed, i + j) for j in range(1, window))))
-    ).when(n > 0, F.array(F.array_min(packed))).otherwise(packed)
+    out, width = rows.withColumn(into, F.col(packed)), 1
+    while width < window:
+        step = min(width, window - width)
+        width += step
+        # beyond the end there is nothing, which ``least`` passes over
+        out = out.withColumn(into, F.zip_with(F.col(into), F.slice(F.col(into), F.lit(step + 1), F.size(into)),
+                                                 lambda a, b: F.least(a, b)))
+    return out.withColumn(into, F.array_distinct(
+        F.when(n > window, F.slice(F.col(into), F.lit(1), F.greatest(n - (window - 1), F.lit(1))))
+        .when(n > 0, F.array(F.array_min(packed))).otherwise(F.col(packed))))
 
 
-def selection(minima: Column) -> Column:
-    """The distinct minima with the first window that chose each: a minimum
-    stays the choice of neighbouring windows, so changes mark all of them."""
-    marked = F.transform(minima, lambda m, i: F.struct(m.alias("m"), i.alias("w")))
-    return F.filter(marked, lambda s: (s["w"] == 0) | (F.get(minima, s["w"] - 1) != s["m"]))
+def hash_of(m: Column) -> Column:
+    return F.shiftright(m, 31)
 
 
-def hashes(selected: Column) -> Column:
-    """The sorted distinct hashes of packed minima."""
-    return F.sort_array(F.array_distinct(F.transform(selected, lambda m: F.shiftright(m, 31))))
+def position_of(m: Column) -> Column:
+    return F.lit(PLACES - 1) - m.bitwiseAND(PLACES - 1).cast("int")
+
+
+def inside(selected: Column, chars: Column, k: int = K, window: int = WINDOW) -> Column:
+    """Of a text's selection what its first ``chars`` code points select: the
+    choices whose first window ends there.  A choice's first window is the one
+    that it enters as the smallest, or the one that its predecessor has left."""
+    before = lambda i: F.get(selected, i - 1)
+    last = chars - (window + k - 2)  # windows begin before this place
+    return F.filter(selected, lambda m, i: F.when(i == 0, F.lit(0)).when(
+        m < before(i), position_of(m) - (window - 1)).otherwise(position_of(before(i)) + 1) < last)
 
 
-def positions(selected: Column) -> Column:
-    return F.transform(selected, lambda m: (F.lit(PLACES - 1) - m.bitwiseAND(PLACES - 1)).cast("int"))
+def hashes(selected: Column) -> Column:
+    """The sorted distinct hashes of packed minima."""
+    return F.sort_array(F.array_distinct(F.transform(selected, hash_of)))
 
 
 def winnow(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
     """(doc_id, hashes, positions): the selection of each text, in order."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return (rows.withColumn("packed", gram_hashes(F.col("text"), k))
-            .withColumn("minima", window_minima(F.col("packed"), window))
-            .select("doc_id", selection(F.col("minima"))["m"].alias("m"))
-            .select("doc_id", F.transform("m", lambda m: F.shiftright(m, 31)).alias("hashes"), positions(F.col("m")).alias("positions")))
+    return _selected(rows, "text", "m", k, window).select(
+        "doc_id", F.transform("m", hash_of).alias("hashes"), F.transform("m", position_of).alias("positions"))
 
 
 def block_cuts(ids: DataFrame) -> list[int]:
@@ -114,9 +128,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def _selected(rows: DataFrame, text: str, into: str, k: int, window: int) -> DataFrame:
-    return (rows.withColumn("packed", gram_hashes(F.col(text), k))
-            .withColumn("minima", window_minima(F.col("packed"), window))
-            .withColumn(into, selection(F.col("minima"))).drop("packed", "minima"))
+    return with_minima(rows.withColumn("packed", gram_hashes(F.col(text), k)), "packed", into, window).drop("packed")
 
 
 def next_of_blocks(rows: DataFrame, k: int, window: int) -> DataFrame:
@@ -162,20 +174,14 @@ def edited_likeness(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFr
         .withColumn("packed", F.when(
             (F.char_length("seam") > reach) | (F.col("n_kept") + F.col("n_given") <= reach),
             gram_hashes(F.col("seam"), k)).otherwise(F.array().cast("array<bigint>")))
-        .withColumn("minima", window_minima(F.col("packed"), window))
     )
+    joined = with_minima(joined, "packed", "minima", window)
 
-    def inside(selected: str, chars: str) -> Column:
-        """Minima of the windows inside the first ``chars`` code points."""
-        return F.transform(F.filter(F.col(selected), lambda s: s["w"] < F.col(chars) - reach), lambda s: s["m"])
-
-    def of(selected: str) -> Column:
-        return hashes(F.transform(F.col(selected), lambda s: s["m"]))
-
+    edited = F.concat(inside(F.col("selected"), F.col("n_kept"), k, window),
+                      inside(F.col("next_selected"), F.col("n_given"), k, window), F.col("minima"))
     return joined.select(
-        "doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", of("selected").alias("hashes"),
-        hashes(F.concat(inside("selected", "n_kept"), inside("next_selected", "n_given"), F.col("minima"))).alias("edited_hashes"),
-        of("next_selected").alias("next_hashes"))
+        "doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", hashes(F.col("selected")).alias("hashes"),
+        hashes(edited).alias("edited_hashes"), hashes(F.col("next_selected")).alias("next_hashes"))
 
 
 def digest(found: Column) -> Column:
