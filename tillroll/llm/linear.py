@@ -25,21 +25,33 @@ class Sparse:
     def of(cls, rows: list[tuple[np.ndarray, np.ndarray]]) -> Sparse:
         lens = [len(f) for f, _ in rows]
         offsets = np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)
-        if not sum(lens):
-            return cls(np.zeros(0, np.int64), np.zeros(0, np.float32), offsets)
-        return cls(np.concatenate([f for f, _ in rows]).astype(np.int64),
-                   np.concatenate([v for _, v in rows]).astype(np.float32), offsets)
+        features, values = np.zeros(offsets[-1], np.int32), np.zeros(offsets[-1], np.float32)
+        for (f, v), a, b in zip(rows, offsets[:-1], offsets[1:], strict=True):
+            features[a:b], values[a:b] = f, v
+        return cls(features, values, offsets)
 
     def __len__(self) -> int:
         return len(self.offsets) - 1
 
+    def _parts(self, rows: int = 256):
+        """Runs of rows, so that a step's temporary arrays stay small."""
+        for a in range(0, len(self), rows):
+            b = min(a + rows, len(self))
+            lo, hi = self.offsets[a], self.offsets[b]
+            yield slice(a, b), self.features[lo:hi], self.values[lo:hi], self.offsets[a:b + 1] - lo
+
     def dot(self, w: np.ndarray) -> np.ndarray:
-        running = np.concatenate([[0.0], np.cumsum(w[self.features] * self.values, dtype=np.float64)])
-        return running[self.offsets[1:]] - running[self.offsets[:-1]]
+        out = np.zeros(len(self))
+        for rows, f, v, at in self._parts():
+            running = np.concatenate([[0.0], np.cumsum(w[f] * v, dtype=np.float64)])
+            out[rows] = running[at[1:]] - running[at[:-1]]
+        return out
 
     def transposed_dot(self, errors: np.ndarray, dim: int) -> np.ndarray:
-        each = np.repeat(errors, np.diff(self.offsets)) * self.values
-        return np.bincount(self.features, weights=each, minlength=dim)
+        out = np.zeros(dim)
+        for rows, f, v, at in self._parts():
+            out += np.bincount(f, weights=np.repeat(errors[rows], np.diff(at)) * v, minlength=dim)
+        return out
 
 
 def fit_logistic(x: Sparse, y: np.ndarray, dim: int, l2: float, steps: int = 120,
@@ -93,7 +105,7 @@ def fit_smooth(x: Sparse, y: np.ndarray, dim: int, l2: float, steps: int = 100)
     if not len(y):
         return np.zeros(dim), 0.0
     # a quarter of the mean squared length of a row bounds the curvature
-    rate = 4 / (1 + float(np.square(x.values, dtype=np.float64).sum()) / len(y))
+    rate = 4 / (1 + float(np.dot(x.values, x.values)) / len(y))
     w, b = np.zeros(dim), float(np.log((y.mean() + 1e-3) / (1.001 - y.mean())))
     aw, ab = w.copy(), b
     for t in range(1, steps + 1):

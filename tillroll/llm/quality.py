@@ -156,7 +156,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int, keep=Non
     return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "text", "y")
 
 
-def sparse_rows(sample: DataFrame, rows) -> tuple[np.ndarray, Sparse]:
+def sparse_rows(sample: DataFrame, rows) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """Run ``rows`` (text -> features, weights) on the executors and gather
     the bounded sample's sparse rows."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,14 +164,13 @@ def sparse_rows(sample: DataFrame, rows) -> tuple[np.ndarray, Sparse]:
             found = [rows(t) for t in texts(batch)]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(2),
-                pa.array([f.astype("<u4").tobytes() for f, _ in found], pa.binary()),
+                pa.array([f.astype("<u2").tobytes() for f, _ in found], pa.binary()),
                 pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary())],
                 names=["doc_id", "y", "f", "v"])
 
     got = sample.mapInArrow(make, "doc_id long, y double, f binary, v binary").toArrow().sort_by("doc_id")
-    return (got["y"].to_numpy(),
-            Sparse.of([(np.frombuffer(f.as_py(), "<u4"), np.frombuffer(v.as_py(), "<f4"))
-                       for f, v in zip(got["f"], got["v"], strict=True)]))
+    return got["y"].to_numpy(), [(np.frombuffer(f.as_py(), "<u2"), np.frombuffer(v.as_py(), "<f4"))
+                                 for f, v in zip(got["f"], got["v"], strict=True)]
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> QualityModel:
@@ -185,12 +184,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) ->
         return QualityModel(np.zeros(DIM, np.float32), 0.0, 1.0, 0.0, fitted=False)
     fold = np.random.default_rng(0).permutation(len(y)) % 5 == 0
 
-    def part(mask: np.ndarray) -> Sparse:
-        return Sparse.of([(x.features[x.offsets[i]:x.offsets[i + 1]], x.values[x.offsets[i]:x.offsets[i + 1]])
-                          for i in np.flatnonzero(mask)])
-
-    w, b = fit_logistic(part(~fold), y[~fold], DIM, l2=1e-5)
-    a, c = fit_platt(part(fold).dot(w) + b, y[fold])
+    held = Sparse.of([r for r, k in zip(x, fold, strict=True) if k])
+    fitted = Sparse.of([r for r, k in zip(x, fold, strict=True) if not k])
+    del x
+    pa.default_memory_pool().release_unused()
+    w, b = fit_logistic(fitted, y[~fold], DIM, l2=1e-5)
+    a, c = fit_platt(held.dot(w) + b, y[fold])
     return QualityModel(w.astype(np.float32), b, a, c)
 
 

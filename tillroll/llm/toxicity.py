@@ -295,7 +295,7 @@ def _gather(sample: DataFrame) -> tuple[np.ndarray, list[np.ndarray], np.ndarray
                                               pa.array(v, pa.binary())], names=["doc_id", "y", "f", "v"])
 
     got = sample.mapInArrow(make, "doc_id long, y double, f binary, v binary").toArrow().sort_by("doc_id")
-    return (got["y"].to_numpy(), [np.frombuffer(f.as_py(), "<u4").astype(np.int64) for f in got["f"]],
+    return (got["y"].to_numpy(), [np.frombuffer(f.as_py(), "<u4") for f in got["f"]],
             np.array([np.frombuffer(v.as_py(), bool) for v in got["v"]]).reshape(-1, N_FIXED))
 
 
@@ -310,14 +310,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) ->
     cast = np.concatenate([stated, induced], axis=1)
     posterior = fit_label_model(cast.astype(np.float64)).posterior(cast.astype(np.float64), silence=False)
     known, count = np.unique(np.concatenate(distinct), return_counts=True)
+    del distinct
     model = ToxicityModel(stems, known[count >= MIN_ROWS], np.zeros(0), np.zeros(0))
     rows_x = []
     for v, f in zip(cast, found, strict=True):
         words, fired = model.places(f), voter_inputs(v)
         words = words[words >= 0]
-        rows_x.append((np.concatenate([fired, VOTERS + words]), np.concatenate([
+        rows_x.append((np.concatenate([fired, VOTERS + words]).astype(np.int32), np.concatenate([
             np.ones(len(fired), np.float32), np.full(len(words), 1 / np.sqrt(max(1, len(words))), np.float32)])))
     x = Sparse.of(rows_x)
+    del found, rows_x
+    pa.default_memory_pool().release_unused()
     w, model.intercept = fit_smooth(x, posterior, VOTERS + len(model.known), l2=1e-3, steps=60)
     model.slope, model.shift = fit_platt(x.dot(w) + model.intercept, y)
     model.voter_weights, model.weights = w[:VOTERS], w[VOTERS:]
