@@ -119,6 +119,31 @@ def test_wrapper_drops_the_template(spark):
     assert len(out) == len(rows) and all(x.n_chars == len(x.text) for x in out)
 
 
+def site(spark, pages):
+    """The texts by page id of one host's pages."""
+    rows = [(i, "http://site.net/a", html) for i, html in enumerate(pages)]
+    return {x.page_id: x.text for x in html_text.extract(frame(spark, rows)).collect()}
+
+
+def prose(i, n=30):
+    r = random.Random(i)
+    return " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(n))
+
+
+def test_wrapper_decides_on_pages_with_articles(spark):
+    card = "<article class=card><a class=more href=x><h3>Teaser {0}</h3></a></article>"
+    got = site(spark, ["<body><div><a href=/>Home</a></div><div><div><p>" + prose(i) + "</p></div>" + card.format(i) + "</div></body>" for i in range(8)])
+    assert all(prose(i) in got[i] and "Home" not in got[i] for i in range(8))
+    # boilerplate inside every article, among its paragraphs too
+    got = site(spark, [f"<body><article><div>Our house rules</div><p>{prose(i)}</p><p>{prose(i + 50)}</p><p>Share this page</p></article></body>"
+                       for i in range(8)])
+    assert got == {i: f"{prose(i)} {prose(i + 50)}" for i in range(8)}
+    # a page without the slot, and copies that differ in their heads only
+    got = site(spark, [*(f"<body><div><div><p>{prose(i)}</p></div></div><div>Imprint</div></body>" for i in range(8)), "<main>alone</main>"])
+    assert got == {i: prose(i) for i in range(8)} | {8: "alone"}
+    assert set(site(spark, [f"<title>{i}</title><body><article><p>copy</p></article>" for i in range(8)]).values()) == {"copy"}
+
+
 def test_extraction_of_no_pages(spark):
     assert html_text.extract(frame(spark, [(1, "u", "h")]).limit(0)).count() == 0
 

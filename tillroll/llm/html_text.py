@@ -4,19 +4,21 @@
    items) become one repeating node.
 2. Each host has up to REFERENCES reference trees, those of the pages with the
    smallest hashes.  Simple tree matching aligns every page of the host with
-   each of them.  An aligned node whose text is the same counts as constant,
-   one whose text differs as varying, with the characters that vary; the counts
-   cover all pages of the host.
-3. Nodes that are constant on nearly all pages are the template.  Of the best
-   aligned reference, the deepest container that holds most of the varying
-   characters is the content slot.
-4. A page's text is what stands in the content slot (in its ``article`` or
-   ``main``, where it has one there), without template nodes outside of it and
-   without elements that say what they are: menus, headers, footers, sidebars,
-   notices, adverts, forms, scripts, styles, reader comments.
-
-A page whose host has no other page, or that lacks the slot, falls back on its
-own ``article``, ``main`` or ``body``.
+   each of them.  A text block of the reference that stands in the aligned
+   node too counts as constant, any other block there as varying, with its
+   characters; the counts cover all pages of the host.
+3. Text blocks that are constant on nearly all pages are the template, those of
+   a repeating node each by itself.  The deepest container of a reference that
+   holds most of the varying characters is its content slot.
+4. A page is aligned with the references.  Its text is what stands in the node
+   that aligns with the slot of the best aligned one, without template blocks
+   and without elements that say what they are: menus, headers, footers,
+   sidebars, notices, adverts, forms, scripts, styles, reader comments.
+
+``article``, ``main`` or ``body`` stand in for the slot, in this order, where
+fewer than MIN_PAGES pages were compared, nothing below the body holds most of
+the varying text, or a page has no node at the slot; template blocks go there
+too.  A slot of template blocks alone keeps them: its pages are copies there.
 
 Character references are decoded, white space inside a block becomes one space,
 blocks are joined in page order by one space; nothing else is dropped.
@@ -165,27 +167,20 @@ class Page:
         if pos < len(html):
             pieces.append((stack[-1], html[pos:]))
 
-    def blocks(self, kept: list[bool]) -> Iterator[tuple[int, str]]:
-        """(first node, text) of each block, from pieces of kept nodes."""
-        run, first = [], 0
+    def runs(self) -> Iterator[list[tuple[int, str]]]:
+        """The pieces of each block."""
+        run: list[tuple[int, str]] = []
         for piece in [*self.pieces, None]:
-            if piece is None:
-                if run:
-                    text = " ".join(entities.unescape("".join(run)).split())
-                    if text:
-                        yield first, text
-                    run = []
-            elif kept[piece[0]]:
-                first = first if run else piece[0]
-                run.append(piece[1])
-
-    def paths(self) -> list[str]:
-        """The labels from the root to each node, of DEPTH levels at most."""
-        out = [""]
-        for n in range(1, len(self.tags)):
-            p = out[self.parents[n]]
-            out.append(f"{p}/{self.labels[n]}" if self.depths[n] <= DEPTH else p)
-        return out
+            if piece is not None:
+                run.append(piece)
+            elif run:
+                yield run
+                run = []
+
+
+def squash(run: list[tuple[int, str]]) -> str:
+    """The text of a block."""
+    return " ".join(entities.unescape("".join(text for _, text in run)).split())
 
 
 def text_hash(text: str) -> int:
@@ -195,39 +190,44 @@ def text_hash(text: str) -> int:
 # ------------------------------------------------------------- alignment
 
 class Tree:
-    """A page's tree for alignment: labels, parents, and of each node the hash
-    and length of its own text, with runs of like leaves merged."""
+    """A page's tree for alignment: labels and parents, with runs of like
+    leaves merged; the node of each page node (``name``); and of each text block
+    its node, hash and length."""
 
     def __init__(self, page: Page) -> None:
-        own: dict[int, list[str]] = {}
-        for n, text in page.blocks([True] * len(page.tags)):
-            while page.depths[n] > DEPTH or page.tags[n] in INLINE:
-                n = page.parents[n]
-            own.setdefault(n, []).append(text)
-        has_child = set(page.parents)
-        self.labels, self.parents, texts, name, last = ["#"], [-1], [own.get(0, [])], {0: 0}, {}
+        skipped = [page.depths[n] > DEPTH or page.tags[n] in INLINE for n in range(len(page.tags))]
+        block = [0]
+        for n in range(1, len(page.tags)):
+            block.append(block[page.parents[n]] if skipped[n] else n)
+        has_child = {block[page.parents[n]] for n in range(1, len(page.tags)) if not skipped[n]}
+        self.labels, self.parents, self.name = ["#"], [-1], [0]
+        last: dict[int, tuple[int, str | None]] = {}
         for n in range(1, len(page.tags)):
-            if page.depths[n] > DEPTH or page.tags[n] in INLINE:
+            parent, leaf = self.name[page.parents[n]], n not in has_child
+            if skipped[n]:
+                self.name.append(parent)
                 continue
-            parent, leaf = name[page.parents[n]], n not in has_child
             before = last.get(parent)
             if leaf and before is not None and before[1] == page.labels[n]:
-                name[n] = before[0]
-                texts[before[0]] += own.get(n, [])
+                self.name.append(before[0])
                 continue
-            name[n] = len(self.labels)
-            last[parent] = (name[n], page.labels[n] if leaf else None)
+            self.name.append(len(self.labels))
+            last[parent] = (len(self.labels), page.labels[n] if leaf else None)
             self.labels.append(page.labels[n])
             self.parents.append(parent)
-            texts.append(list(own.get(n, [])))
-        self.hashes = [text_hash("\n".join(t)) for t in texts]
-        self.lengths = [sum(map(len, t)) for t in texts]
+        self.owners, self.hashes, self.lengths = [], [], []
+        for run in page.runs():
+            text = squash(run)
+            if text:
+                self.owners.append(self.name[run[0][0]])
+                self.hashes.append(text_hash(text))
+                self.lengths.append(len(text))
 
     def shape(self) -> str:
         return " ".join(f"{p}:{label}" for p, label in zip(self.parents, self.labels, strict=True))
 
     def pack(self) -> dict:
-        return {"shape": self.shape(), "hashes": self.hashes, "lengths": self.lengths}
+        return {"shape": self.shape(), "owners": self.owners, "hashes": self.hashes, "lengths": self.lengths}
 
 
 def _children(shape: str) -> tuple[list[str], list[list[int]]]:
@@ -278,75 +278,89 @@ def align(shape_a: str, shape_b: str) -> tuple[tuple[int, int], ...]:
     return tuple(sorted(out))
 
 
-def content_slot(shape: str, varies: list[int]) -> str:
-    """The path of the deepest container that holds SLOT_SHARE of the varying
-    characters; ``article`` and ``main`` are not entered."""
+def content_slot(shape: str, varies: list[int]) -> int:
+    """The deepest container that holds SLOT_SHARE of the varying characters
+    (``article`` and ``main`` are not entered), or -1 if that is no more than
+    the page's body."""
     labels, children = _children(shape)
     mass = list(varies)
     for n in range(len(labels) - 1, -1, -1):
         mass[n] += sum(mass[c] for c in children[n])
-    node, path = 0, ""
+    node = 0
     while labels[node].partition(".")[0] not in ("article", "main"):
         best = max((c for c in children[node] if labels[c].partition(".")[0] in CONTAINERS), key=lambda c: mass[c], default=None)
         if best is None or not mass[0] or mass[best] < SLOT_SHARE * mass[0]:
             break
         node = best
-        path += "/" + labels[node]
-    return path
+    return -1 if labels[node].partition(".")[0] in ("#", "html", "body") else node
 
 
-def template_nodes(shape: str, hashes: list[int], lengths: list[int], aligned: list[int], same: list[int]) -> list[int]:
-    """Path-and-text hashes of the constant nodes that have text."""
-    labels, paths, out = [], [], []
+def shape_paths(shape: str) -> list[str]:
+    """The labels from the root to each node."""
+    out: list[str] = []
     for n, x in enumerate(shape.split(" ")):
         parent, _, label = x.partition(":")
-        labels.append(label)
-        paths.append(paths[int(parent)] + "/" + label if n else "")
-        if lengths[n] and aligned[n] >= MIN_PAGES and same[n] >= CONSTANT * aligned[n]:
-            out.append(text_hash(f"{paths[n]} {hashes[n]}"))
+        out.append(out[int(parent)] + "/" + label if n else "")
     return out
 
 
+def template_key(path: str, block: int) -> int:
+    return text_hash(f"{path} {block}")
+
+
+def template_blocks(shape: str, owners: list[int], hashes: list[int], aligned: list[int], same: list[int]) -> list[int]:
+    """The keys of the constant blocks of a reference."""
+    paths = shape_paths(shape)
+    return [template_key(paths[n], h) for n, h, k in zip(owners, hashes, same, strict=True)
+            if aligned[n] >= MIN_PAGES and k >= CONSTANT * aligned[n]]
+
+
 # ------------------------------------------------------------ extraction
 
-def main_text(html: str, slot: str | None, template: set[int]) -> str:
-    """The text of one page, given its host's wrapper."""
+def slot_nodes(page: Page, tree: Tree, wrappers: list[dict], pages: int) -> list[int]:
+    """The page's nodes at the slot of the wrapper that aligns best with it,
+    of those (shape, slot, aligned, mass) that at least ``pages`` pages gave."""
+    shape = tree.shape()
+    tried = [(align(w["shape"], shape), w) for w in wrappers if w["slot"] >= 0 and w["aligned"] >= pages]
+    for pairs, w in sorted(tried, key=lambda x: (-len(x[0]), -x[1]["mass"], x[1]["shape"])):
+        at = dict(pairs).get(w["slot"])
+        if at is None:
+            continue
+        nodes = {at}
+        if tree.labels[at].partition(".")[0] == "article":  # a page of several articles
+            nodes |= {n for n, p in enumerate(tree.parents) if p == tree.parents[at] and tree.labels[n] == tree.labels[at]}
+        return [n for n, t in enumerate(tree.name) if t in nodes and page.labels[n] == tree.labels[t]]
+    return []
+
+
+def main_text(html: str, wrappers: list[dict] | None = None, template: set[int] = frozenset()) -> str:
+    """The text of one page, given its host's wrappers."""
     page = Page(html)
-    paths = page.paths()
-    root = next((n for n, p in enumerate(paths) if slot and p == slot and not page.dropped[n]), None)
-    inside = [False] * len(page.tags)
-    if root is not None:
-        inside[root] = True
-        for n in range(root + 1, len(inside)):
-            inside[n] = inside[page.parents[n]]
-    articles = [n for n, t in enumerate(page.tags) if t == "article" and not page.dropped[n] and (root is None or inside[n])] or [
-        n for n, t in enumerate(page.tags) if t == "main" and not page.dropped[n] and (root is None or inside[n])]
-    if articles:
-        inside = [False] * len(page.tags)
-        chosen = set(articles)
-        for n in range(len(inside)):
-            inside[n] = n in chosen or (n > 0 and inside[page.parents[n]])
-    elif root is None:
-        inside = [True] * len(page.tags)
+    tree = Tree(page)
+    chosen = set(slot_nodes(page, tree, wrappers or [], MIN_PAGES))
+    chosen = chosen or {n for n, t in enumerate(page.tags) if t == "article" and not page.dropped[n]}
+    chosen = chosen or {n for n, t in enumerate(page.tags) if t == "main" and not page.dropped[n]}
+    # the wrapper of few pages
+    chosen = chosen or set(slot_nodes(page, tree, wrappers or [], 1))
+    inside = [not chosen] * len(page.tags)
+    for n in range(len(inside)):
+        inside[n] |= n in chosen or (n > 0 and inside[page.parents[n]])
     kept = [i and not d for i, d in zip(inside, page.dropped, strict=True)]
-    blocks = list(page.blocks(kept))
-    if template and not articles:
-        # equal neighbours were one node of the wrapper's tree
-        groups: dict[str, list[int]] = {}
-        for k, (n, _) in enumerate(blocks):
-            while page.tags[n] in INLINE:
-                n = page.parents[n]
-            groups.setdefault(f"{page.parents[n]} {paths[n]}", []).append(k)
-        gone = set()
-        for key, at in groups.items():
-            path = key.partition(" ")[2]
-            if text_hash(f"{path} " + str(text_hash("\n".join(blocks[k][1] for k in at)))) in template:
-                gone.update(at)
-        blocks = [b for k, b in enumerate(blocks) if k not in gone]
-    return " ".join(text for _, text in blocks)
-
-
-TREE = "shape string, hashes array<long>, lengths array<long>"
+    paths = shape_paths(tree.shape()) if template else []
+    found = []
+    for run in page.runs():
+        own = [piece for piece in run if kept[piece[0]]]
+        text = squash(own) if own else ""
+        if text:
+            whole = text if len(own) == len(run) else squash(run)
+            found.append((text, bool(template) and template_key(paths[tree.name[run[0][0]]], text_hash(whole)) in template))
+    # a slot of constant text only: the host's pages are copies there
+    copies = chosen and all(constant for _, constant in found)
+    return " ".join(text for text, constant in found if copies or not constant)
+
+
+TREE = "shape string, owners array<int>, hashes array<long>, lengths array<long>"
+WRAPPER = "struct<shape:string,slot:int,aligned:long,mass:long>"
 
 
 def _host(url: F.Column) -> F.Column:
@@ -354,8 +368,9 @@ def _host(url: F.Column) -> F.Column:
 
 
 def trees(pages: DataFrame) -> DataFrame:
-    """(host, h, shape, hashes, lengths) of ``pages(host, page_id, html)``."""
-    schema = pa.schema([("host", pa.string()), ("h", pa.int64()), ("shape", pa.string()),
+    """(host, h, shape, owners, hashes, lengths) of ``pages(host, page_id,
+    html)``."""
+    schema = pa.schema([("host", pa.string()), ("h", pa.int64()), ("shape", pa.string()), ("owners", pa.list_(pa.int32())),
                         ("hashes", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,54 +386,71 @@ def trees(pages: DataFrame) -> DataFrame:
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """(host, slot, template): the wrapper of each host with pages to compare."""
+    """(host, wrappers, template) of each host with pages to compare."""
     found = materialize(trees(pages), "trees")
+    tree = F.struct("shape", "owners", "hashes", "lengths")
     slot = F.pmod(F.col("h"), F.lit(REFERENCES)).cast("int")
     # equal pages say nothing about each other: a text counts once per host
     least = found.withColumn("ref", slot).groupBy("host", "ref").agg(F.min("h").alias("h"))
     refs = (found.join(least.select("host", "ref", "h"), ["host", "h"]).dropDuplicates(["host", "ref"])
-            .select("host", "ref", F.col("h").alias("ref_h"), F.struct("shape", "hashes", "lengths").alias("reference")))
+            .select("host", "ref", F.col("h").alias("ref_h"), tree.alias("reference")))
     pairs = (found.dropDuplicates(["host", "h"]).join(refs, "host").filter(F.col("h") != F.col("ref_h"))
-             .select("host", "ref", "shape", "hashes", "lengths", "reference"))
-    votes = pa.schema([("host", pa.string()), ("ref", pa.int32()), ("node", pa.int32()),
-                       ("aligned", pa.int64()), ("same", pa.int64()), ("varies", pa.int64())])
+             .select("host", "ref", tree.alias("tree"), "reference"))
+    # a place is a node of the reference, or from its number of nodes on a block
+    votes = pa.schema([("host", pa.string()), ("ref", pa.int32()), ("place", pa.int32()), ("n", pa.int64()), ("varies", pa.int64())])
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums: dict[tuple[str, int], np.ndarray] = {}
-            for host, ref, shape, hashes, lengths, reference in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                own = sums.setdefault((host, ref), np.zeros((len(reference["hashes"]), 3), np.int64))
-                for a, b in align(reference["shape"], shape):
-                    equal = reference["hashes"][a] == hashes[b]
-                    own[a] += (1, equal, 0 if equal else lengths[b])
-            rows = [(h, r, n, *map(int, x)) for (h, r), own in sums.items() for n, x in enumerate(own)]
+            sums: dict[tuple, tuple] = {}
+            for key, tree, reference in zip(zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True),
+                                            batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if key not in sums:
+                    known: dict[int, dict[int, list[int]]] = {}
+                    for k, (n, h) in enumerate(zip(reference["owners"], reference["hashes"], strict=True)):
+                        known.setdefault(n, {}).setdefault(h, []).append(k)
+                    nodes = reference["shape"].count(" ") + 1
+                    sums[key] = nodes, known, np.zeros((nodes + len(reference["hashes"]), 2), np.int64)
+                nodes, known, own = sums[key]
+                at: dict[int, dict[int, int]] = {}
+                for n, h, size in zip(tree["owners"], tree["hashes"], tree["lengths"], strict=True):
+                    blocks = at.setdefault(n, {})
+                    blocks[h] = blocks.get(h, 0) + size
+                for a, b in align(reference["shape"], tree["shape"]):
+                    here, there = known.get(a, {}), at.get(b, {})
+                    own[a] += (1, sum(size for h, size in there.items() if h not in here))
+                    for h in here.keys() & there.keys():
+                        own[[nodes + k for k in here[h]], 0] += 1
+            rows = [(*key, place, *map(int, x)) for key, (_, _, own) in sums.items() for place, x in enumerate(own) if x.any()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(votes)], schema=votes)
 
-    counted = pairs.mapInArrow(vote, "host string, ref int, node int, aligned long, same long, varies long").groupBy(
-        "host", "ref", "node").agg(*(F.sum(c).alias(c) for c in ("aligned", "same", "varies")))
-    wrappers = (counted.groupBy("host", "ref").agg(F.array_sort(F.collect_list(F.struct("node", "aligned", "same", "varies"))).alias("nodes"))
-                .join(refs, ["host", "ref"]).select("host", "ref", "nodes", "reference"))
-    out = pa.schema([("host", pa.string()), ("ref", pa.int32()), ("mass", pa.int64()), ("slot", pa.string()), ("template", pa.list_(pa.int64()))])
+    counted = pairs.mapInArrow(vote, "host string, ref int, place int, n long, varies long").groupBy(
+        "host", "ref", "place").agg(F.sum("n").alias("n"), F.sum("varies").alias("varies"))
+    counts = (counted.groupBy("host", "ref").agg(F.collect_list(F.struct("place", "n", "varies")).alias("counts"))
+              .join(refs, ["host", "ref"]).select("host", "counts", "reference"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[], [], [], [], []]
-            for host, ref, nodes, reference in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                varies = [x["varies"] for x in nodes]
-                row = (host, ref, sum(varies), content_slot(reference["shape"], varies),
-                       template_nodes(reference["shape"], reference["hashes"], reference["lengths"],
-                                      [x["aligned"] for x in nodes], [x["same"] for x in nodes]))
-                for col, v in zip(cols, row, strict=True):
-                    col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out, strict=True)], schema=out)
-
-    built = wrappers.mapInArrow(build, "host string, ref int, mass long, slot string, template array<long>")
-    # at most REFERENCES rows a host: the best aligned gives the slot
-    best = built.groupBy("host").agg(
-        F.max(F.struct("mass", "ref", "slot"))["slot"].alias("slot"),
-        F.array_distinct(F.flatten(F.collect_list("template"))).alias("template"))
-    return materialize(best, "wrappers")
+            wrappers, templates = [], []
+            for counts, reference in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                shape, owners, hashes = (reference[x] for x in ("shape", "owners", "hashes"))
+                nodes = shape.count(" ") + 1
+                own = np.zeros((nodes + len(hashes), 2), np.int64)
+                for x in counts:
+                    own[x["place"]] = x["n"], x["varies"]
+                aligned, varies, same = own[:nodes, 0].tolist(), own[:nodes, 1].tolist(), own[nodes:, 0].tolist()
+                wrappers.append({"shape": shape, "slot": content_slot(shape, varies), "aligned": aligned[0], "mass": sum(varies)})
+                templates.append(template_blocks(shape, owners, hashes, aligned, same))
+            wrapper = pa.struct([("shape", pa.string()), ("slot", pa.int32()), ("aligned", pa.int64()), ("mass", pa.int64())])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(wrappers, wrapper), pa.array(templates, pa.list_(pa.int64()))],
+                names=["host", "wrapper", "template"])
+
+    built = counts.mapInArrow(build, f"host string, wrapper {WRAPPER}, template array<long>")
+    # at most REFERENCES rows a host
+    return materialize(built.groupBy("host").agg(
+        F.collect_list("wrapper").alias("wrappers"),
+        F.array_distinct(F.flatten(F.collect_list("template"))).alias("template")), "wrappers")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -427,13 +459,13 @@ def extract(pages: DataFrame) -> DataFrame:
                         F.col("html").cast("string").alias("html")).withColumn("host", _host(F.col("url")))
     wrappers = induce(rows.select("host", "page_id", "html"))
     # Spark broadcasts the wrappers if their measured size allows it
-    joined = rows.join(wrappers, "host", "left").select("page_id", "url", "html", "slot", "template")
+    joined = rows.join(wrappers, "host", "left").select("page_id", "url", "html", "wrappers", "template")
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [main_text(h.as_py() or "", slot.as_py(), set(t.as_py() or ()))
-                     for h, slot, t in zip(batch.column(2), batch.column(3), batch.column(4), strict=True)]
+            found = [main_text(h.as_py() or "", w.as_py(), set(t.as_py() or ()))
+                     for h, w, t in zip(batch.column(2), batch.column(3), batch.column(4), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string())], schema=schema)
 
     return joined.mapInArrow(run, "page_id long, url string, text string").withColumn(
