@@ -144,6 +144,23 @@ def test_wrapper_decides_on_pages_with_articles(spark):
     assert set(site(spark, [f"<title>{i}</title><body><article><p>copy</p></article>" for i in range(8)]).values()) == {"copy"}
 
 
+@pytest.mark.parametrize("name", ["class='no-sidebar'", "class='x has-sidebar'", "class=social-history", "id='related-work'",
+                                  "id=comment-on-x", "class='widget'", "id=related"])
+def test_names_drop_no_article(spark, name):
+    assert text(f"<body><div {name}><article><p>body</p></article></div></body>") == "body"
+    assert text(f"<body><article {name}><p>body</p></article></body>") == "body"
+    if "widget" not in name and name != "id=related":  # not names of other parts
+        assert text(f"<body><div {name}><p>body</p></div></body>") == "body"
+
+
+def test_names_drop_no_slot(spark):
+    got = site(spark, [f"<body><p>Home</p><div class=widget><div id=related><p>{prose(i)}</p></div></div><div class=sidebar>s {i}</div></body>"
+                       for i in range(8)])
+    assert got == {i: prose(i) for i in range(8)}
+    assert text("<article>t<section class=comments><article class=x>reader</article></section></article>") == "t"
+    assert text("<article>t</article><div class=comments><article class=comment>reader</article></div>") == "t"
+
+
 def test_extraction_of_no_pages(spark):
     assert html_text.extract(frame(spark, [(1, "u", "h")]).limit(0)).count() == 0
 

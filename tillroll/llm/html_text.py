@@ -13,7 +13,9 @@
 4. A page is aligned with the references.  Its text is what stands in the node
    that aligns with the slot of the best aligned one, without template blocks
    and without elements that say what they are: menus, headers, footers,
-   sidebars, notices, adverts, forms, scripts, styles, reader comments.
+   sidebars, notices, adverts, forms, scripts, styles, reader comments.  Tags
+   and roles say so, and whole class names or ids; names never drop what the
+   slot or an article stands in.
 
 ``article``, ``main`` or ``body`` stand in for the slot, in this order, where
 fewer than MIN_PAGES pages were compared, nothing below the body holds most of
@@ -67,35 +69,39 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "d
 DROPPED = set("aside button canvas datalist dialog footer form head iframe input menu nav noscript object script select "
               "style svg template textarea title".split())
 DROPPED_ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
+#: Whole class names and ids.
 DROPPED_NAMES = set("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent "
                     "cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice popup "
                     "promo related respond share sharing sidebar signup social sponsor sponsored subscribe toolbar "
-                    "widget".split())
+                    "widget ad-banner ad-container ad-slot ad-unit comment-list comment-section comments-area "
+                    "cookie-banner cookie-bar cookie-consent cookie-notice main-menu main-nav nav-bar newsletter-signup "
+                    "related-articles related-posts share-buttons side-bar site-footer site-nav social-links "
+                    "social-share".split())
 CONTAINERS = set("html body div section article main table tbody tr td center form".split())
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-NAMES = re.compile(r"[a-z]+")
 
 
 class Page:
-    """A parsed page: nodes in page order (tag, label, parent, whether it is
-    dropped) and its text pieces (node, text), None where a block ends."""
+    """A parsed page: nodes in page order (tag, label, parent, whether its tag or
+    role drops it, whether its names do) and its text pieces (node, text), None where a block ends."""
 
     def __init__(self, html: str) -> None:
-        self.tags, self.labels, self.parents, self.dropped, self.depths = ["#"], ["#"], [-1], [False], [0]
+        self.tags, self.labels, self.parents, self.depths = ["#"], ["#"], [-1], [0]
+        self.says, self.named = [False], [False]
         self.pieces: list[tuple[int, str] | None] = []
         self._parse(html)
 
     def _open(self, tag: str, attributes: str, parent: int) -> int:
-        label, dropped = tag, tag in DROPPED
+        label, dropped, named = tag, tag in DROPPED, False
         if attributes:
             for name, *values in ATTRIBUTE.findall(attributes):
                 value = next((v for v in values if v), "").lower()
                 if name.lower() == "role":
                     dropped |= value.strip() in DROPPED_ROLES
                     continue
-                dropped |= not DROPPED_NAMES.isdisjoint(NAMES.findall(value))
+                named |= not DROPPED_NAMES.isdisjoint(value.split())
                 if name.lower() == "class" and value.strip():
                     label = f"{tag}.{value.split()[0]}"
         # a page's header, not an article's
@@ -104,7 +110,8 @@ class Page:
         self.labels.append(label)
         self.parents.append(parent)
         self.depths.append(self.depths[parent] + 1)
-        self.dropped.append((dropped and tag not in ("html", "body")) or self.dropped[parent])
+        self.says.append(dropped and tag not in ("html", "body"))
+        self.named.append(named and tag not in ("html", "body"))
         return len(self.tags) - 1
 
     def _inside(self, node: int, tags: tuple[str, ...]) -> bool:
@@ -114,6 +121,30 @@ class Page:
             node = self.parents[node]
         return False
 
+    def dropped(self, slot: set[int]) -> list[bool]:
+        """Whether each node is dropped, itself or by an ancestor.  Nothing
+        drops the slot's nodes or what they stand in; names drop nothing that an
+        article stands in (but articles in articles, and articles named as
+        what is dropped, unless a page has no other)."""
+        articles = [n for n, t in enumerate(self.tags) if t == "article"]
+        articles = articles if len(articles) == 1 else [
+            n for n in articles if not self.named[n] and not self._inside(self.parents[n], ("article",))]
+        held, spared = self._above(slot), self._above(articles)
+        out = [False]
+        for n in range(1, len(self.tags)):
+            own = n not in held and (self.says[n] or (self.named[n] and n not in spared))
+            out.append(own or out[self.parents[n]])
+        return out
+
+    def _above(self, nodes) -> set[int]:
+        """The nodes and their ancestors."""
+        out: set[int] = set()
+        for n in nodes:
+            while n > 0 and n not in out:
+                out.add(n)
+                n = self.parents[n]
+        return out
+
     def _parse(self, html: str) -> None:
         stack, pos, pieces = [0], 0, self.pieces
         tags = self.tags
@@ -338,14 +369,16 @@ def main_text(html: str, wrappers: list[dict] | None = None, template: set[int]
     page = Page(html)
     tree = Tree(page)
     chosen = set(slot_nodes(page, tree, wrappers or [], MIN_PAGES))
-    chosen = chosen or {n for n, t in enumerate(page.tags) if t == "article" and not page.dropped[n]}
-    chosen = chosen or {n for n, t in enumerate(page.tags) if t == "main" and not page.dropped[n]}
-    # the wrapper of few pages
-    chosen = chosen or set(slot_nodes(page, tree, wrappers or [], 1))
+    dropped = page.dropped(chosen)
+    chosen = chosen or {n for n, t in enumerate(page.tags) if t == "article" and not dropped[n]}
+    chosen = chosen or {n for n, t in enumerate(page.tags) if t == "main" and not dropped[n]}
+    if not chosen:  # the wrapper of few pages
+        chosen = set(slot_nodes(page, tree, wrappers or [], 1))
+        dropped = page.dropped(chosen)
     inside = [not chosen] * len(page.tags)
     for n in range(len(inside)):
         inside[n] |= n in chosen or (n > 0 and inside[page.parents[n]])
-    kept = [i and not d for i, d in zip(inside, page.dropped, strict=True)]
+    kept = [i and not d for i, d in zip(inside, dropped, strict=True)]
     paths = shape_paths(tree.shape()) if template else []
     found = []
     for run in page.runs():
