@@ -161,6 +161,28 @@ def test_names_drop_no_slot(spark):
     assert text("<article>t</article><div class=comments><article class=comment>reader</article></div>") == "t"
 
 
+def test_every_layout_has_a_wrapper(spark):
+    """More layouts on a host than references for all of its pages."""
+    pages, want = [], {}
+    for i in range(10 * 8):
+        k, own = i % 10, prose(i)
+        want[i] = own
+        side = f"<div class=s{k}><p>Shared by layout {k}</p><p>{prose(1000 + i, 5)}</p></div>"
+        body = f"<div class=c{k}><div class=d{k}><p>{own}</p><p>Tail of layout {k}</p></div></div>"
+        pages.append(f"<body>{side * (k % 2)}{body}{side * (1 - k % 2)}</body>")
+    assert site(spark, pages) == want
+
+
+def test_layouts():
+    def layout(html):
+        return html_text.Tree(html_text.Page(html)).layout()
+
+    assert layout("<body><div><p>a<h2>b</h2></div></body>") == layout("<body><div><p>a</div><div><ul><li>b</ul></div></body>")
+    assert layout("<article><div>a</div></article>") == layout("<article>a</article>")
+    assert layout("<div class=a>x</div>") != layout("<div class=b>x</div>")
+    assert layout("") == layout("plain") > 0
+
+
 def test_extraction_of_no_pages(spark):
     assert html_text.extract(frame(spark, [(1, "u", "h")]).limit(0)).count() == 0
 

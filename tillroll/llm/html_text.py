@@ -2,15 +2,18 @@
 
 1. Every page becomes a DOM tree; runs of like sibling leaves (paragraphs, list
    items) become one repeating node.
-2. Each host has up to REFERENCES reference trees, those of the pages with the
-   smallest hashes.  Simple tree matching aligns every page of the host with
-   each of them.  A text block of the reference that stands in the aligned
+2. Pages of a host with the same layout (their tree of containers outside of
+   articles, with runs of like siblings merged) are a group, all pages of the
+   host another.  Each group has up to REFERENCES reference trees, those of the
+   pages with the smallest hashes.  Simple tree matching aligns every page with
+   each reference of its groups.  A text block of the reference that stands in the aligned
    node too counts as constant, any other block there as varying, with its
-   characters; the counts cover all pages of the host.
+   characters; the counts cover all pages of the group.
 3. Text blocks that are constant on nearly all pages are the template, those of
    a repeating node each by itself.  The deepest container of a reference that
-   holds most of the varying characters is its content slot.
-4. A page is aligned with the references.  Its text is what stands in the node
+   holds most of the varying characters is its content slot; a layout's template is its own and its host's.
+4. A page is aligned with the references of its layout, or of its host if fewer
+   than MIN_PAGES other pages have its layout.  Its text is what stands in the node
    that aligns with the slot of the best aligned one, without template blocks
    and without elements that say what they are: menus, headers, footers,
    sidebars, notices, adverts, forms, scripts, styles, reader comments.  Tags
@@ -254,11 +257,29 @@ class Tree:
                 self.hashes.append(text_hash(text))
                 self.lengths.append(len(text))
 
+    def layout(self) -> int:
+        """A hash of the containers outside of articles, equal neighbours
+        merged; 0 stands for all layouts of a host."""
+        inner: list[list[int]] = [[] for _ in self.labels]
+        for n in range(len(self.labels) - 1, -1, -1):
+            tag = self.labels[n].partition(".")[0]
+            if n and tag not in CONTAINERS:
+                own = inner[n]  # containers below stand in the next one above
+            else:
+                below = [] if tag in ("article", "main") else inner[n]
+                own = [text_hash(f"{self.labels[n]} {below}") | 1]
+            if n == 0:
+                return own[0]
+            for x in reversed(own):  # children come last to first
+                if inner[self.parents[n]][:1] != [x]:
+                    inner[self.parents[n]].insert(0, x)
+        return 0
+
     def shape(self) -> str:
         return " ".join(f"{p}:{label}" for p, label in zip(self.parents, self.labels, strict=True))
 
     def pack(self) -> dict:
-        return {"shape": self.shape(), "owners": self.owners, "hashes": self.hashes, "lengths": self.lengths}
+        return {"layout": self.layout(), "shape": self.shape(), "owners": self.owners, "hashes": self.hashes, "lengths": self.lengths}
 
 
 def _children(shape: str) -> tuple[list[str], list[list[int]]]:
@@ -365,7 +386,7 @@ def slot_nodes(page: Page, tree: Tree, wrappers: list[dict], pages: int) -> list
 
 
 def main_text(html: str, wrappers: list[dict] | None = None, template: set[int] = frozenset()) -> str:
-    """The text of one page, given its host's wrappers."""
+    """The text of one page, given its layout's wrappers."""
     page = Page(html)
     tree = Tree(page)
     chosen = set(slot_nodes(page, tree, wrappers or [], MIN_PAGES))
@@ -401,10 +422,10 @@ def _host(url: F.Column) -> F.Column:
 
 
 def trees(pages: DataFrame) -> DataFrame:
-    """(host, h, shape, owners, hashes, lengths) of ``pages(host, page_id,
+    """(host, h, layout, shape, owners, hashes, lengths) of ``pages(host, page_id,
     html)``."""
-    schema = pa.schema([("host", pa.string()), ("h", pa.int64()), ("shape", pa.string()), ("owners", pa.list_(pa.int32())),
-                        ("hashes", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64()))])
+    schema = pa.schema([("host", pa.string()), ("h", pa.int64()), ("layout", pa.int64()), ("shape", pa.string()),
+                        ("owners", pa.list_(pa.int32())), ("hashes", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -415,28 +436,32 @@ def trees(pages: DataFrame) -> DataFrame:
             cols = [pa.array([r[f.name] for r in rows], f.type) for f in list(schema)[1:]]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], schema=schema)
 
-    return pages.mapInArrow(run, f"host string, h long, {TREE}")
+    return pages.mapInArrow(run, f"host string, h long, layout long, {TREE}")
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """(host, wrappers, template) of each host with pages to compare."""
+    """(host, layout, wrappers, template) of each layout on a host that has
+    other pages to compare."""
     found = materialize(trees(pages), "trees")
     tree = F.struct("shape", "owners", "hashes", "lengths")
     slot = F.pmod(F.col("h"), F.lit(REFERENCES)).cast("int")
-    # equal pages say nothing about each other: a text counts once per host
-    least = found.withColumn("ref", slot).groupBy("host", "ref").agg(F.min("h").alias("h"))
-    refs = (found.join(least.select("host", "ref", "h"), ["host", "h"]).dropDuplicates(["host", "ref"])
-            .select("host", "ref", F.col("h").alias("ref_h"), tree.alias("reference")))
-    pairs = (found.dropDuplicates(["host", "h"]).join(refs, "host").filter(F.col("h") != F.col("ref_h"))
-             .select("host", "ref", tree.alias("tree"), "reference"))
+    # equal pages say nothing about each other: a text counts once per group
+    members = found.dropDuplicates(["host", "h"]).withColumn("layout", F.explode(F.array(F.lit(0).cast("long"), "layout")))
+    least = (found.select("host", "h", F.explode(F.array(F.lit(0).cast("long"), "layout")).alias("layout")).withColumn("ref", slot)
+             .groupBy("host", "layout", "ref").agg(F.min("h").alias("h")))
+    # the references of all groups of a host are at most three times its layouts
+    refs = (found.drop("layout").join(least, ["host", "h"]).dropDuplicates(["host", "layout", "ref"])
+            .select("host", "layout", "ref", F.col("h").alias("ref_h"), tree.alias("reference")))
+    pairs = (members.join(refs, ["host", "layout"]).filter(F.col("h") != F.col("ref_h"))
+             .select("host", "layout", "ref", tree.alias("tree"), "reference"))
     # a place is a node of the reference, or from its number of nodes on a block
-    votes = pa.schema([("host", pa.string()), ("ref", pa.int32()), ("place", pa.int32()), ("n", pa.int64()), ("varies", pa.int64())])
+    votes = pa.schema([("host", pa.string()), ("layout", pa.int64()), ("ref", pa.int32()), ("place", pa.int32()), ("n", pa.int64()), ("varies", pa.int64())])
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sums: dict[tuple, tuple] = {}
-            for key, tree, reference in zip(zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True),
-                                            batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for key, tree, reference in zip(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True),
+                                            batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 if key not in sums:
                     known: dict[int, dict[int, list[int]]] = {}
                     for k, (n, h) in enumerate(zip(reference["owners"], reference["hashes"], strict=True)):
@@ -457,15 +482,15 @@ def induce(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(votes)], schema=votes)
 
-    counted = pairs.mapInArrow(vote, "host string, ref int, place int, n long, varies long").groupBy(
-        "host", "ref", "place").agg(F.sum("n").alias("n"), F.sum("varies").alias("varies"))
-    counts = (counted.groupBy("host", "ref").agg(F.collect_list(F.struct("place", "n", "varies")).alias("counts"))
-              .join(refs, ["host", "ref"]).select("host", "counts", "reference"))
+    counted = pairs.mapInArrow(vote, "host string, layout long, ref int, place int, n long, varies long").groupBy(
+        "host", "layout", "ref", "place").agg(F.sum("n").alias("n"), F.sum("varies").alias("varies"))
+    counts = (counted.groupBy("host", "layout", "ref").agg(F.collect_list(F.struct("place", "n", "varies")).alias("counts"))
+              .join(refs, ["host", "layout", "ref"]).select("host", "layout", "counts", "reference"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wrappers, templates = [], []
-            for counts, reference in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for counts, reference in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 shape, owners, hashes = (reference[x] for x in ("shape", "owners", "hashes"))
                 nodes = shape.count(" ") + 1
                 own = np.zeros((nodes + len(hashes), 2), np.int64)
@@ -476,14 +501,29 @@ def induce(pages: DataFrame) -> DataFrame:
                 templates.append(template_blocks(shape, owners, hashes, aligned, same))
             wrapper = pa.struct([("shape", pa.string()), ("slot", pa.int32()), ("aligned", pa.int64()), ("mass", pa.int64())])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(wrappers, wrapper), pa.array(templates, pa.list_(pa.int64()))],
-                names=["host", "wrapper", "template"])
+                [batch.column(0), batch.column(1), pa.array(wrappers, wrapper), pa.array(templates, pa.list_(pa.int64()))],
+                names=["host", "layout", "wrapper", "template"])
+
+    built = counts.mapInArrow(build, f"host string, layout long, wrapper {WRAPPER}, template array<long>")
+    # at most REFERENCES rows a group
+    groups = materialize(built.groupBy("host", "layout").agg(
+        F.collect_list("wrapper").alias("wrappers"), F.flatten(F.collect_list("template")).alias("template")), "wrappers")
+    whole = groups.filter("layout = 0").select("host", F.col("wrappers").alias("all"), F.col("template").alias("everywhere"))
+    own = F.exists("wrappers", lambda w: w["aligned"] >= MIN_PAGES)
+    return (found.select("host", "layout").distinct().join(whole, "host").join(groups, ["host", "layout"], "left")
+            .select("host", "layout", F.when(own, F.col("wrappers")).otherwise(F.col("all")).alias("wrappers"),
+                    F.array_distinct(F.concat("everywhere", F.coalesce("template", F.array().cast("array<long>")))).alias("template")))
+
+
+def with_layout(pages: DataFrame) -> DataFrame:
+    """``pages(page_id, url, html, host)`` with each page's layout."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [Tree(Page(x.as_py() or "")).layout() for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(found, pa.int64())],
+                                             names=["page_id", "url", "html", "host", "layout"])
 
-    built = counts.mapInArrow(build, f"host string, wrapper {WRAPPER}, template array<long>")
-    # at most REFERENCES rows a host
-    return materialize(built.groupBy("host").agg(
-        F.collect_list("wrapper").alias("wrappers"),
-        F.array_distinct(F.flatten(F.collect_list("template"))).alias("template")), "wrappers")
+    return pages.mapInArrow(run, "page_id long, url string, html string, host string, layout long")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -492,7 +532,7 @@ def extract(pages: DataFrame) -> DataFrame:
                         F.col("html").cast("string").alias("html")).withColumn("host", _host(F.col("url")))
     wrappers = induce(rows.select("host", "page_id", "html"))
     # Spark broadcasts the wrappers if their measured size allows it
-    joined = rows.join(wrappers, "host", "left").select("page_id", "url", "html", "wrappers", "template")
+    joined = with_layout(rows).join(wrappers, ["host", "layout"], "left").select("page_id", "url", "html", "wrappers", "template")
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
