@@ -210,6 +210,18 @@ def test_warc_round_trip(spark):
     assert warc.read_archives(warc.write_archives(frame(spark, WARC_ROWS).limit(0))).count() == 0
 
 
+def test_very_long_urls(spark):
+    rows = [(1, "http://a/" + "x" * 70_000, "one"), (2, "http://b/" + "\x01" * 30_000, "two"), (3, "http://c/", "three")]
+    assert {r.record_id for r in warc.own_records(warc.write_archives(frame(spark, rows))).collect()} == {f"<urn:x-page:{i}>" for i in (1, 2, 3)}
+
+
+def test_gaps_in_own_archives_raise(spark):
+    archives = warc.write_archives(frame(spark, WARC_ROWS))
+    cut = archives.withColumn("content", F.expr("substring(content, 1, length(content) - 20)"))
+    with pytest.raises(Exception, match="gap in pages-"):
+        warc.own_records(cut).count()
+
+
 def some_records(n=6):
     return [warc.page_record(i, f"http://x/{i}", b"payload %d " % i * 30, hashlib.sha256(b"payload %d " % i * 30).hexdigest(), None)
             for i in range(n)]

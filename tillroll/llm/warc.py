@@ -48,7 +48,6 @@ PAGE = "urn:x-page:"
 
 GZIP = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
-MAX_HEAD = 1 << 16
 
 
 # ---------------------------------------------------------------- writing
@@ -166,7 +165,7 @@ def parse(data: bytes, pos: int) -> tuple[dict[bytes, bytes], bytes, int]:
     """Headers and block of the record at ``pos``, and the place behind it."""
     if not VERSION.match(data, pos):
         raise Bad("no version line")
-    end = data.find(b"\r\n\r\n", pos, pos + MAX_HEAD)
+    end = data.find(b"\r\n\r\n", pos)
     if end < 0:
         raise Bad("headers don't end")
     headers: dict[bytes, bytes] = {}
@@ -282,9 +281,18 @@ def page_of(column: str) -> F.Column:
     return F.regexp_extract(F.col(column), re.escape(PAGE) + r"(-?\d+)", 1).try_cast("long")
 
 
+def own_records(archives: DataFrame) -> DataFrame:
+    """The pages' records of archives that ``write_archives`` made: a gap in
+    one would be a lost page, so it is an error."""
+    gap = F.raise_error(F.concat(F.lit("gap in "), F.col("archive"), F.lit(" at byte "), F.col("offset").cast("string"),
+                                 F.lit(": "), F.col("fault")))
+    return read_archives(archives, with_payload=False).filter(
+        F.when(F.col("fault").isNotNull(), gap.cast("boolean")).otherwise(F.col("record_type").isin("response", "revisit")))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = write_archives(read_table(spark, sf_dir, "pages", ["page_id", "url", "html"]))
-    return read_archives(archives, with_payload=False).filter("record_type in ('response', 'revisit')").select(
+    return own_records(archives).select(
         page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         page_of("refers_to").alias("refers_to"))
 
