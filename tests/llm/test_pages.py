@@ -64,6 +64,19 @@ def test_viterbi():
     assert "".join(urls.viterbi("q" * 200, counts, 1000.0)) == "q" * 200
 
 
+def test_clean_hosts_that_hold_listed_words(spark):
+    clean = "essex alphabet freedom farmington farming sussex trackside beads winter freestyle".split()
+    bad = "ads-track adult-x freebets spamfarm casinowin cheappills".split()
+    rows = [(i, f"http://{w}.example.net/{p}/{i}", None) for i, w in enumerate(clean + bad) for p in ("es", "en")]
+    got = {r.page_id: r for r in urls.judge_urls(frame(spark, rows)).collect()}
+    for i, w in enumerate(clean):
+        assert got[i].host_words[0] == w or w == "trackside"
+        assert got[i].verdict == "allow"
+    assert [got[len(clean) + i].verdict for i in range(len(bad))] == ["block"] * len(bad)
+    one = urls.judge_urls(frame(spark, [(1, "http://freedom.net/es/", None), (2, "http://trackside.net/es/", None)]))
+    assert {r.verdict for r in one.collect()} == {"allow"}
+
+
 # ------------------------------------------------------------------- html
 
 def text(html, slot=None, template=()):

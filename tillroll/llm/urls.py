@@ -4,12 +4,14 @@
    the longest fitting rule wins.
 2. Host labels are split into words: a unigram model over the separate words of
    all urls (those that hyphens or digits part in host labels, and path words)
-   and a stated word list gives each substring a probability, and Viterbi finds
-   the likeliest split of each distinct run of letters.
+   and a published vocabulary's words, by rank, gives each substring a
+   probability, and Viterbi finds the likeliest split of each distinct run of
+   letters.
 3. A multinomial naive Bayes model scores the words of host and path.  Its
-   training labels come from the stated words of unwanted sites: a url whose
-   segmented host has one is an example of "block", any other of "allow"; the
-   counts cover all urls.  So words that keep such company weigh too.
+   training labels come from the stated words of unwanted sites, as the tables
+   hold none: a url whose segmented host has one that says enough alone, or two
+   others, is an example of "block", any other of "allow"; the counts cover all
+   urls.  So words that keep such company weigh too.
 
 Words are counted and looked up by joins on distinct words, labels and hosts,
 never per occurrence, so neither a frequent word nor a hot host is a hot key
@@ -25,9 +27,12 @@ in the unigram model and cost their length.
 
 from __future__ import annotations
 
+import json
 import math
+import re
 from collections.abc import Iterator
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,8 +49,13 @@ UNWANTED = ("ads adult bet bets betting casino cheap dating farm free gambling l
 #: More words that host names are made of.
 KNOWN = ("com net org www blog book cloud daily data digital example forum health home info life live mail media mobile music net news "
          "online shop store tech time travel tube web wiki world").split()
-#: Weight of a stated word besides that of its occurrences (a logarithm).
-STATED = 500.0
+#: Those of UNWANTED that clean hosts hardly have.
+TELLING = "adult betting casino gambling poker porn sex spam viagra xxx".split()
+#: Weight of a word's occurrences in the urls (a logarithm) beside its listed
+#: weight; a parted name may be joined words itself, however often it is seen.
+SEEN = 1e-4
+#: A letter of an unknown word costs so much (a logarithm).
+LETTER = math.log(3)
 MAX_WORD = 20
 SALTS = 32
 BUCKETS = 1 << 16
@@ -80,9 +90,20 @@ def words(text: Column) -> Column:
 
 # ----------------------------------------------------------- segmentation
 
+def vocabulary() -> dict[str, float]:
+    """Weights of the whole words of at least three letters of a published
+    vocabulary, one over the rank, and 1 for the last; a stated word that it
+    lacks weighs as its last."""
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        ranks = json.load(f)["model"]["vocab"]
+    last = max(ranks.values())
+    weights = {w[:-4]: last / max(1, r) for w, r in ranks.items() if w.endswith("</w>") and re.fullmatch("[a-z]{3,}", w[:-4])}
+    return dict.fromkeys([*UNWANTED, *KNOWN], 1.0) | weights
+
+
 def unigrams(hosts: DataFrame, paths: DataFrame) -> DataFrame:
     """(word, n): weights of the words of every url's host and path, and of the
-    stated words.  ``hosts(host, n)`` and ``paths(path, n)`` are distinct, with
+    vocabulary.  ``hosts(host, n)`` and ``paths(path, n)`` are distinct, with
     counts; a word weighs as the logarithm of its count, so that a joined name
     that is seen often doesn't outweigh the words that it is made of."""
     # a label that is one run of letters may be several words, so it is no word
@@ -90,23 +111,23 @@ def unigrams(hosts: DataFrame, paths: DataFrame) -> DataFrame:
         words(F.col("label")).alias("w"), "n").filter(F.size("w") > 1)
     seen = parted.select(F.explode("w").alias("word"), "n").unionByName(
         paths.select(F.explode(words(F.col("path"))).alias("word"), "n"))
-    stated = F.when(F.col("word").isin([*UNWANTED, *KNOWN]), STATED).otherwise(0.0)
-    known = hosts.sparkSession.createDataFrame([(w, 0) for w in [*UNWANTED, *KNOWN]], "word string, n long")
-    return (seen.unionByName(known).filter(F.length("word") <= MAX_WORD)
-            .groupBy("word").agg(F.sum("n").alias("n")).select("word", (F.log1p("n") + stated).alias("n")))
+    listed = hosts.sparkSession.createDataFrame(list(vocabulary().items()), "word string, listed double")
+    return (seen.withColumn("listed", F.lit(0.0)).unionByName(listed.withColumn("n", F.lit(0).cast("long")))
+            .filter(F.length("word") <= MAX_WORD).groupBy("word")
+            .agg((SEEN * F.log1p(F.sum("n")) + F.sum("listed")).alias("n")))
 
 
 def viterbi(label: str, pieces: dict[str, float], total: float) -> list[str]:
     """The likeliest split of ``label``: known words by their weights, an
-    unknown one costs ten times more with each letter."""
+    unknown one costs LETTER more with each letter."""
     n = len(label)
     best = [0.0] + [-math.inf] * n
     back = [0] * (n + 1)
-    unknown = [math.log(0.1 / total) - k * math.log(10) for k in range(n + 1)]
+    unknown = [math.log(0.1 / total) - k * LETTER for k in range(n + 1)]
     for end in range(1, n + 1):
         for start in range(max(0, end - MAX_WORD), end):
             c = pieces.get(label[start:end])
-            p = best[start] + (math.log(c / total) if c else unknown[end - start])
+            p = best[start] + max(math.log(c / total) if c else -math.inf, unknown[end - start])
             if p > best[end]:
                 best[end], back[end] = p, start
         if end > MAX_WORD and best[end] == -math.inf:
@@ -146,6 +167,10 @@ def bucket(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
 
+def listed(words: list[str]) -> Column:
+    return F.array(*[F.lit(w) for w in words])
+
+
 def fit_bayes(tokens: DataFrame) -> tuple[dict[int, float], float]:
     """From ``tokens(host_words, path_words, blocked)``: the log odds of each
     hash bucket of words (add-one smoothing; at most BUCKETS entries) and of
@@ -175,7 +200,8 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "split"))), lambda s: s["split"])).alias("host_words"))
     by_host = (hosts.select("host").join(spoken, "host", "left")
                .withColumn("host_words", F.coalesce("host_words", F.array().cast("array<string>")))
-               .withColumn("blocked", F.arrays_overlap("host_words", F.array(*[F.lit(w) for w in UNWANTED]))))
+               .withColumn("blocked", F.arrays_overlap("host_words", listed(TELLING))
+                           | (F.size(F.array_intersect("host_words", listed(UNWANTED))) > 1)))
 
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     salted = by_host.select("host", "host_words", "blocked", salts.alias("salt"))
