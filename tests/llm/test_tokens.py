@@ -2,6 +2,7 @@
 
 import hashlib
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -81,6 +82,20 @@ def test_chunk_maps_compose(text, size):
         assert t.total(m) == len(tok.encode(text[:k * size], add_special_tokens=False).ids)
 
 
+def test_maps_are_composed_without_prefixes():
+    """A long text without white space: no prefix of its open word is kept."""
+    t = token_counts.CountTransducer(WORD)
+    text = "x" * 2_000_000
+    maps = t.maps([text[a:a + 16_000] for a in range(0, len(text), 16_000)])
+    tracemalloc.start()
+    assert t.reduce(maps).head == text
+    assert tracemalloc.get_traced_memory()[1] < 5 * len(text)
+    tracemalloc.stop()
+    t.scan = None  # counts() doesn't need it
+    whole = "two words and a half " * 4000
+    assert t.counts([whole, "", "x"]) == [len(e.ids) for e in Tokenizer.from_file(WORD).encode_batch([whole, "", "x"], add_special_tokens=False)]
+
+
 def test_empty_tables(no_docs):
     assert packing.packed_digests(no_docs).count() == 0
     assert token_counts.token_counts(no_docs, WORD).count() == 0

@@ -5,15 +5,16 @@ text's characters; its state is the word that is open (the empty word at the
 start and after white space).  A character of a word leads to the longer open
 word and emits nothing; white space leads back to the start and emits the
 number of tokens of the word that it closes.  States are compiled when they
-are first met: the count on a closing transition comes from the tokenizer's
-own merges, once per word, and is kept in a table of bounded size.
+are first met: the count on a closing transition is the length of the
+library's own encoding of the word, asked once per word and kept in a table of
+bounded size.  A text with \\x1c-\\x1f goes to the library whole.
 
 A chunk of text is a map from the state before it to the state after it and
 the count emitted.  Because white space forgets the open word, that map has a
 finite form, ``(head, count, tail)``: the characters that lengthen the open
 word, the tokens of the words that lie wholly inside, and the word left open.
 Maps compose associatively, so the chunks of a text are mapped independently
-and their maps are composed by a parallel prefix scan.
+and their maps are composed in pairs, inside the row's task.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); repeated
 rows and null ids stay as they are; an empty table gives no rows; other
@@ -126,6 +127,12 @@ class CountTransducer:
             out.append(done[i // 2] if i % 2 else self.compose(done[i // 2 - 1], maps[i]))
         return out
 
+    def reduce(self, maps: list[ChunkMap]) -> ChunkMap:
+        """The map of all chunks, by pairs; no prefix is kept."""
+        while len(maps) > 1:
+            maps = [self.compose(*maps[i:i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+        return maps[0]
+
     def total(self, m: ChunkMap) -> int:
         """Tokens of a text with the map ``m``, from the start state to the
         end, which closes the open word."""
@@ -144,7 +151,7 @@ class CountTransducer:
             chunks += cut
         maps, at, out = self.maps(chunks), 0, []
         for i, n in enumerate(texts_of):
-            out.append(odd[i] if i in odd else self.total(self.scan(maps[at:at + n])[-1]) if n else 0)
+            out.append(odd[i] if i in odd else self.total(self.reduce(maps[at:at + n])) if n else 0)
             at += n
         return out
 
