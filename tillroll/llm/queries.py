@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tillroll.llm import line_dedup, merkle, warc
+from tillroll.llm import collocations, line_dedup, merkle, warc
 from tillroll.llm.byte_bpe import op5_byte_bpe
 from tillroll.llm.html_text import op6_wrapper_text
 from tillroll.llm.packing import op1_pow2_packing
@@ -15,8 +15,9 @@ from tillroll.llm.winnowing import op10_winnowing
 
 QUERIES = {f.__name__: f for f in (
     op1_pow2_packing, op2_url_filter, op3_weak_toxicity, op4_token_counts, op5_byte_bpe, op6_wrapper_text,
-    op7_quality_rules, op8_simhash, warc.op9_warc, op10_winnowing, line_dedup.op11_line_dedup, merkle.op12_merkle_manifest)}
+    op7_quality_rules, op8_simhash, warc.op9_warc, op10_winnowing, line_dedup.op11_line_dedup, merkle.op12_merkle_manifest,
+    collocations.op13_collocations)}
 
 #: Where SQL can express the query.
 ORACLES = {"op9_warc": warc.ORACLE_SQL, "op11_line_dedup": line_dedup.ORACLE_SQL,
-           "op12_merkle_manifest": merkle.ORACLE_SQL}
+           "op12_merkle_manifest": merkle.ORACLE_SQL, "op13_collocations": collocations.ORACLE_SQL}
