@@ -89,9 +89,11 @@ def test_odd_documents(spark):
 
 def counted(texts, words=True):
     everything = C.Proposed(*(x | 255 for x in (C.np.zeros(64, C.np.uint8), C.np.zeros(64, C.np.uint8))))
-    counter, got = C.Counter(words, everything, None), Counter()
+    counter, got = C.Counter(words, everything, None, 3), Counter()
     batches = [b for lang, t in texts for b in counter.add(lang, t)] + list(counter.flush())
-    for b in batches:
+    rows = sorted(((k, x) for b in batches for k, x in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: r[0])
+    packed = C.pa.record_batch([C.pa.array([k for k, _ in rows], C.pa.int64()), C.pa.array([x for _, x in rows], C.pa.binary())], names=["bucket", "entries"])
+    for b in C.added_up(iter([packed]), 1):
         for lang, p, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if p:
                 got[lang, tuple(p.split(" "))] += n

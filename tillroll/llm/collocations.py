@@ -21,8 +21,9 @@ What is proposed goes to the tasks as two bitmaps of fixed size (WORD_BITS,
 PAIR_BITS), which hold a bit for the hash of each proposed phrase.  A bit that
 two phrases share only lets a pass count more phrases than it must.  A task
 counts by sorting packed word numbers in arrays, a run of tokens at a time, and
-hands over one row for each distinct phrase; the rows are added up in a shuffle
-by phrase, where a frequent phrase has a row for each task.
+hands over its distinct phrases with their counts, packed into a row for each
+bucket of phrases (by hash); buckets are shuffled and added up.  A frequent
+phrase has an entry for each task, not for each place where it stands.
 
 Long texts are worked through in chunks that carry two words over their cut.
 
@@ -49,14 +50,17 @@ from tillroll.sources.tables import read_table
 
 MIN_COUNT, TOP = 10, 2000
 SAMPLE, SAMPLE_COUNT = 16, 2
-WORD_BITS, PAIR_BITS = 1 << 24, 1 << 27
+WORD_BITS, PAIR_BITS = 1 << 24, 1 << 26
 SALTS = 64
 #: Bytes of a chunk of text, tokens of a run, entries and words held by a task.
-CHUNK, RUN, HELD, WORDS = 2 << 20, 1 << 20, 6_000_000, 1_500_000
+CHUNK, RUN, HELD, WORDS = 2 << 20, 1 << 20, 2_000_000, 400_000
 #: A word's number in a packed phrase.
 BITS = 21
 
 SEP = b"\xff"  # no byte of UTF-8
+#: Buckets of phrases for each shuffle partition.
+BUCKETS = 4
+ENTRIES = pa.schema([("key", pa.binary()), ("n", pa.int64())])
 
 
 def _table() -> bytes:
@@ -154,8 +158,8 @@ class Counter:
     whose parts are in ``new`` but not all in ``old`` (None: pairs of any
     words, no triples)."""
 
-    def __init__(self, words: bool, new: Proposed | None, old: Proposed | None) -> None:
-        self.count_words, self.new, self.old = words, new, old
+    def __init__(self, words: bool, new: Proposed | None, old: Proposed | None, buckets: int = 1) -> None:
+        self.count_words, self.new, self.old, self.buckets = words, new, old, buckets
         self.reset()
 
     def reset(self) -> None:
@@ -181,7 +185,7 @@ class Counter:
     def _keep(self, size: int, codes: np.ndarray) -> None:
         codes.sort()
         starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
-        self.held[size].append((codes[starts], np.diff(np.append(starts, len(codes)))))
+        self.held[size].append((codes[starts], np.diff(np.append(starts, len(codes))).astype(np.int32)))
         self.n_held += len(starts)
 
     def run(self) -> None:
@@ -218,43 +222,99 @@ class Counter:
         self._keep(2, (a[at] << 2 * BITS) | (a[at + 1] << BITS) | a[at + 2])
 
     def flush(self) -> Iterator[pa.RecordBatch]:
-        """Rows (lang, phrase, n); the row with an empty phrase has the number
-        of words of the language."""
+        """A row (bucket, entries) for each bucket that has phrases: the phrases
+        whose hash falls there, with their counts."""
         self.run()
-        words, langs = pa.array(self.vocabulary.words, pa.binary()), pa.array(self.vocabulary.langs, pa.string())
-        for size, parts in enumerate(self.held):
-            if not parts:
-                continue
-            codes, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(codes, kind="stable")
-            codes, counts = codes[order], counts[order]
-            starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
-            codes, counts = codes[starts], np.add.reduceat(counts, starts) if len(starts) else counts
-            if size == 0:
+        hashes = self.vocabulary.grown()
+        words, langs = pa.array(self.vocabulary.words, pa.binary()), pa.array(self.vocabulary.langs, pa.binary())
+        for size, held in enumerate(self.held):
+            codes, counts = merged(held)
+            held.clear()
+            if size == 0:  # the number of words of each language, with an empty phrase
                 table = pa.table({"lang": langs.take(pa.array(codes)), "n": counts}).group_by("lang").aggregate([("n", "sum")])
-                yield pa.record_batch([table["lang"].combine_chunks(), pa.array([""] * len(table)), table["n_sum"].combine_chunks()],
-                                      names=["lang", "phrase", "n"])
-            for s in range(0, len(codes), 100_000):
-                c = codes[s:s + 100_000]
-                parts_of = [words.take(pa.array((c >> BITS * k) & ((1 << BITS) - 1))) for k in range(size, -1, -1)]
-                phrase = pc.binary_join_element_wise(*parts_of, b" ") if size else parts_of[0]
-                first = pa.array(c >> BITS * size)
-                yield pa.record_batch([langs.take(first), phrase.cast(pa.string()), pa.array(counts[s:s + 100_000])],
-                                      names=["lang", "phrase", "n"])
+                keys = pc.binary_join_element_wise(table["lang"].combine_chunks(), pa.scalar(b""), SEP)
+                yield from self._packed(keys, table["n_sum"].to_numpy(), np.zeros(len(keys), np.int64))
+            parts = [(codes >> BITS * k) & ((1 << BITS) - 1) for k in range(size, -1, -1)]
+            bucket = hashes[parts[0]]
+            for x in parts[1:]:
+                bucket = pair_hash(bucket, hashes[x])
+            bucket = (bucket % np.uint64(self.buckets)).astype(np.int64)
+            step = 1_000_000
+            for s in range(0, len(codes), step):
+                x = [words.take(pa.array(q[s:s + step])) for q in parts]
+                phrase = pc.binary_join_element_wise(*x, b" ") if size else x[0]
+                keys = pc.binary_join_element_wise(langs.take(pa.array(parts[0][s:s + step])), phrase, SEP)
+                yield from self._packed(keys, counts[s:s + step], bucket[s:s + step])
         self.reset()
 
+    def _packed(self, keys: pa.Array, counts: np.ndarray, bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(bucket, kind="stable")
+        ordered = pa.record_batch([keys.take(pa.array(order)), pa.array(counts[order], pa.int64())], schema=ENTRIES)
+        found, starts = np.unique(bucket[order], return_index=True)
+        ends = np.append(starts, len(order))
+        rows, sizes = [], 0
+        for i, (s, e) in enumerate(zip(ends, ends[1:], strict=False)):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, ENTRIES) as out:
+                out.write_batch(ordered.slice(s, e - s))
+            rows.append(sink.getvalue().to_pybytes())
+            sizes += len(rows[-1])
+            if sizes > 8_000_000 or i == len(found) - 1:
+                yield pa.record_batch([pa.array(found[i + 1 - len(rows):i + 1], pa.int64()), pa.array(rows, pa.binary())], names=["bucket", "entries"])
+                rows, sizes = [], 0
+
+
+def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes of all runs, and the sums of their counts."""
+    if not held:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    codes, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(codes, kind="stable")
+    codes, counts = codes[order], counts[order]
+    starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
+    return codes[starts], np.add.reduceat(counts, starts) if len(starts) else counts
+
+
+def added_up(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Sum the counts of each bucket's phrases; its rows follow each other.
+    Rows (lang, phrase, n) of those with ``least``, and the languages' words."""
+    def out(blobs: list[pa.Buffer]) -> pa.RecordBatch:
+        table = pa.concat_tables(pa.ipc.open_stream(x).read_all() for x in blobs)
+        table = table.group_by("key").aggregate([("n", "sum")])
+        rest = pc.ends_with(table["key"], SEP)
+        table = table.filter(pc.or_(rest, pc.greater_equal(table["n_sum"], least)))
+        parts = pc.split_pattern(table["key"], SEP).combine_chunks()
+        return pa.record_batch([pc.list_element(parts, 0).cast(pa.string()), pc.list_element(parts, 1).cast(pa.string()),
+                                table["n_sum"].combine_chunks()], names=["lang", "phrase", "n"])
+
+    bucket, blobs = None, []
+    for batch in batches:
+        for b, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if b != bucket and blobs:
+                yield out(blobs)
+                blobs = []
+            bucket = b
+            blobs.append(x.as_buffer())
+    if blobs:
+        yield out(blobs)
+
+
+def count(docs: DataFrame, least: int, words: bool, new: Broadcast | None, old: Broadcast | None) -> DataFrame:
+    """(lang, phrase, n), the sums over all of ``docs(lang, text)`` that reach
+    ``least``, and the languages' numbers of words, with an empty phrase.  A
+    bucket has a BUCKETS-th of a shuffle partition's share of all entries."""
+    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-def count(docs: DataFrame, words: bool, new: Broadcast | None, old: Broadcast | None) -> DataFrame:
-    """(lang, phrase, n), the sums over all of ``docs(lang, text)``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(words, new.value if new else None, old.value if old else None)
+        counter = Counter(words, new.value if new else None, old.value if old else None, buckets)
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1), strict=True):
                 yield from counter.add(lang.as_py(), text.as_py())
         yield from counter.flush()
 
-    parts = docs.select("lang", "text").mapInArrow(run, "lang string, phrase string, n long")
-    return parts.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    parts = docs.select("lang", "text").mapInArrow(run, "bucket long, entries binary")
+    return parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
+        lambda batches: added_up(batches, least), "lang string, phrase string, n long")
 
 
 def n_words(phrase: Column) -> Column:
@@ -303,13 +363,12 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
                        F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLE)).alias("part"))
-    sample = count(rows.filter("part = 0"), True, None, None)
-    proposed, _ = extended(Proposed.none(), sample.filter((F.col("phrase") != "") & (F.col("n") >= SAMPLE_COUNT)))
+    sample = count(rows.filter("part = 0"), SAMPLE_COUNT, True, None, None)
+    proposed, _ = extended(Proposed.none(), sample.filter("phrase != ''"))
     passes, old, gained = [], None, 1
     while gained:
         new = spark.sparkContext.broadcast(proposed)
-        found = materialize(count(rows, not passes, new, old)
-                            .filter((F.col("n") >= min_count) | (F.col("phrase") == "")), "frequent-phrases")
+        found = materialize(count(rows, min_count, not passes, new, old), "frequent-phrases")
         passes.append(found)
         short = found.filter((F.col("phrase") != "") & (n_words(F.col("phrase")) < 3))
         proposed, gained = extended(proposed, short)
