@@ -91,8 +91,9 @@ def counted(texts, words=True):
     everything = C.Proposed(*(x | 255 for x in (C.np.zeros(64, C.np.uint8), C.np.zeros(64, C.np.uint8))))
     counter, got = C.Counter(words, everything, None, 3), Counter()
     batches = [b for lang, t in texts for b in counter.add(lang, t)] + list(counter.flush())
-    rows = sorted(((k, x) for b in batches for k, x in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: r[0])
-    packed = C.pa.record_batch([C.pa.array([k for k, _ in rows], C.pa.int64()), C.pa.array([x for _, x in rows], C.pa.binary())], names=["bucket", "entries"])
+    rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    kinds = C.pa.int64(), C.pa.string(), C.pa.binary()
+    packed = C.pa.record_batch([C.pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["bucket", "lang", "entries"])
     for b in C.added_up(iter([packed]), 1):
         for lang, p, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if p:
@@ -102,15 +103,15 @@ def counted(texts, words=True):
 
 @settings(max_examples=150, deadline=None)
 @given(texts=st.lists(st.tuples(st.sampled_from(["en", "de"]), st.text(alphabet="aB \t.\né\x0b", max_size=60)), max_size=6),
-       chunk=st.integers(1, 9), run=st.integers(1, 20), held=st.integers(1, 12))
-def test_chunks_and_runs(texts, chunk, run, held):
-    old = C.CHUNK, C.RUN, C.HELD
+       chunk=st.integers(1, 9), held=st.integers(1, 30), at_once=st.integers(1, 9))
+def test_chunks_and_runs(texts, chunk, held, at_once):
+    old = C.CHUNK, C.HELD, C.ENTRIES_AT_ONCE
     try:
-        C.CHUNK, C.RUN, C.HELD = chunk, run, held
+        C.CHUNK, C.HELD, C.ENTRIES_AT_ONCE = chunk, held, at_once
         want = Counter((lang, p) for lang, t in texts for p in phrases(t))
         assert counted(texts) == want
     finally:
-        C.CHUNK, C.RUN, C.HELD = old
+        C.CHUNK, C.HELD, C.ENTRIES_AT_ONCE = old
 
 
 def test_a_long_text():

@@ -20,10 +20,11 @@ shorter phrases in it are.
 What is proposed goes to the tasks as two bitmaps of fixed size (WORD_BITS,
 PAIR_BITS), which hold a bit for the hash of each proposed phrase.  A bit that
 two phrases share only lets a pass count more phrases than it must.  A task
-counts by sorting packed word numbers in arrays, a run of tokens at a time, and
-hands over its distinct phrases with their counts, packed into a row for each
-bucket of phrases (by hash); buckets are shuffled and added up.  A frequent
-phrase has an entry for each task, not for each place where it stands.
+cuts a run of texts of one language into words in arrays, counts by sorting
+packed word numbers, and hands over the run's distinct phrases with their
+counts, packed into a row for each bucket of phrases (by hash); buckets are
+shuffled and added up.  A frequent phrase has an entry for each run, not for
+each place where it stands.
 
 Long texts are worked through in chunks that carry two words over their cut.
 
@@ -34,6 +35,7 @@ ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -52,15 +54,14 @@ MIN_COUNT, TOP = 10, 2000
 SAMPLE, SAMPLE_COUNT = 16, 2
 WORD_BITS, PAIR_BITS = 1 << 24, 1 << 26
 SALTS = 64
-#: Bytes of a chunk of text, tokens of a run, entries and words held by a task.
-CHUNK, RUN, HELD, WORDS = 2 << 20, 1 << 20, 2_000_000, 400_000
+#: Bytes of a chunk of a long text, of the texts of a run; entries at once.
+CHUNK, HELD, ENTRIES_AT_ONCE = 4 << 20, 12 << 20, 500_000
+#: Buckets of phrases for each shuffle partition.
+BUCKETS = 4
 #: A word's number in a packed phrase.
 BITS = 21
 
-SEP = b"\xff"  # no byte of UTF-8
-#: Buckets of phrases for each shuffle partition.
-BUCKETS = 4
-ENTRIES = pa.schema([("key", pa.binary()), ("n", pa.int64())])
+ENTRIES = pa.schema([("phrase", pa.binary()), ("n", pa.int64())])
 
 
 def _table() -> bytes:
@@ -75,40 +76,9 @@ def _table() -> bytes:
 LOWER_AND_CUT = _table()
 
 
-class Vocabulary:
-    """Numbers the words of each language in one count from 1; 0 is a cut."""
-
-    def __init__(self) -> None:
-        self.words, self.langs, self.of_lang = [b""], [""], {}
-        self.hashes = np.zeros(1, np.uint64)
-
-    def numbers(self, lang: str) -> _OfLang:
-        if lang not in self.of_lang:
-            self.of_lang[lang] = _OfLang(self, lang)
-        return self.of_lang[lang]
-
-    def grown(self) -> np.ndarray:
-        """The words' hashes."""
-        new = range(len(self.hashes), len(self.words))
-        fresh = np.fromiter((word_hash(self.langs[i], self.words[i]) for i in new), np.uint64, len(new))
-        self.hashes = np.concatenate([self.hashes, fresh])
-        return self.hashes
-
-
-class _OfLang(dict):
-    def __init__(self, vocabulary: Vocabulary, lang: str) -> None:
-        super().__init__({SEP: 0})
-        self.words, self.langs, self.lang = vocabulary.words, vocabulary.langs, lang
-
-    def __missing__(self, word: bytes) -> int:
-        i = self[word] = len(self.words)
-        self.words.append(word)
-        self.langs.append(self.lang)
-        return i
-
-
-def word_hash(lang: str, word: bytes) -> int:
-    return xxhash.xxh64_intdigest(lang.encode() + b"\xff" + word, 13)
+def word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
+    seed = zlib.crc32(lang.encode())
+    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
 
 
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -134,169 +104,156 @@ class Proposed:
         return cls(np.zeros(WORD_BITS // 8, np.uint8), np.zeros(PAIR_BITS // 8, np.uint8))
 
 
-def chunks(text: str) -> Iterator[tuple[list[bytes], int]]:
-    """The tokens of a text (words, and SEP for cuts) chunk by chunk, and how
-    many of the first tokens are those that the chunk before ended with."""
-    raw, at, carry = text.encode().translate(LOWER_AND_CUT), 0, []
-    while at < len(raw):
-        end = len(raw)
+def chunks(text: bytes) -> Iterator[tuple[bytes, int]]:
+    """A long text in chunks, cut between words, and how many words each repeats
+    from the end of the one before: two, or those of the open piece."""
+    at, carry = 0, b""
+    while at < len(text):
+        end = len(text)
         if end - at > CHUNK:
-            end = max(raw.rfind(b"\n", at, at + CHUNK), raw.rfind(b" ", at, at + CHUNK)) + 1
+            end = max(text.rfind(b"\n", at, at + CHUNK), text.rfind(b" ", at, at + CHUNK)) + 1
             if end <= at:  # a word longer than a chunk ends it
-                ends = [x for x in (raw.find(b"\n", at + CHUNK), raw.find(b" ", at + CHUNK)) if x >= 0]
-                end = min(ends) + 1 if ends else len(raw)
-        tokens = raw[at:end].replace(b"\n", b" \xff ").split()
-        yield carry + tokens, len(carry)
-        last = (carry + tokens)[-2:]
-        carry = last[last.index(SEP) + 1:] if SEP in last[:1] else last
-        carry = [] if SEP in carry else carry
+                ends = [x for x in (text.find(b"\n", at + CHUNK), text.find(b" ", at + CHUNK)) if x >= 0]
+                end = min(ends) + 1 if ends else len(text)
+        chunk = carry + text[at:end]
+        yield chunk, len(carry.split())
+        last = chunk[chunk.rfind(b"\n") + 1:].rsplit(None, 2)[-2:]
+        carry = b"".join(w + b" " for w in last)
         at = end
 
 
+class Run:
+    """The words of some texts of one language, cut from their bytes in arrays:
+    the distinct words, each word's number and the piece that it stands in."""
+
+    def __init__(self, lang: str, text: bytes, carried: int = 0) -> None:
+        raw = np.frombuffer(text, np.uint8)
+        cut = raw == 10
+        inside = ~(cut | (raw == 32))
+        edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+        starts, ends = edges[::2], edges[1::2]
+        offsets = np.zeros(len(starts) + 1, np.int32)
+        np.cumsum(ends - starts, out=offsets[1:])
+        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw[inside])])
+        coded = words.dictionary_encode()
+        self.lang, self.words, self.carried = lang, coded.dictionary, carried
+        self.ids = coded.indices.to_numpy().astype(np.int64)
+        self.hashes = word_hashes(lang, self.words.to_pylist())
+        piece = np.cumsum(cut, dtype=np.int32)[starts]
+        #: where two, three neighbours stand in one piece and the last is new here
+        self.pairs = piece[1:] == piece[:-1]
+        self.triples = self.pairs[1:] & self.pairs[:-1]
+        self.pairs[:max(carried - 1, 0)] = False
+
+
+def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    codes.sort()
+    starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
+    return codes[starts], np.diff(np.append(starts, len(codes)))
+
+
 class Counter:
-    """Counts the phrases of one task: words always if ``words``, longer ones
-    whose parts are in ``new`` but not all in ``old`` (None: pairs of any
-    words, no triples)."""
+    """Counts the phrases of one task run by run: words if ``words``, longer
+    ones whose parts are in ``new`` but not all in ``old`` (no ``new``: pairs of
+    any words, no triples)."""
 
     def __init__(self, words: bool, new: Proposed | None, old: Proposed | None, buckets: int = 1) -> None:
         self.count_words, self.new, self.old, self.buckets = words, new, old, buckets
-        self.reset()
-
-    def reset(self) -> None:
-        self.vocabulary, self.tokens, self.fresh, self.n_tokens = Vocabulary(), [], [], 0
-        self.held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], [], []]
-        self.n_held = 0
+        self.waiting: dict[str, list[bytes]] = {}
+        self.size: dict[str, int] = {}
 
     def add(self, lang: str, text: str) -> Iterator[pa.RecordBatch]:
-        for tokens, carried in chunks(text):
-            numbers = self.vocabulary.numbers(lang)
-            ids = np.zeros(len(tokens) + 1, np.int64)
-            ids[:-1] = np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens))
-            fresh = np.ones(len(ids), bool)
-            fresh[:carried] = False
-            self.tokens.append(ids)
-            self.fresh.append(fresh)
-            self.n_tokens += len(ids)
-            if self.n_tokens >= RUN:
-                self.run()
-                if self.n_held >= HELD or len(self.vocabulary.words) >= WORDS:
-                    yield from self.flush()
-
-    def _keep(self, size: int, codes: np.ndarray) -> None:
-        codes.sort()
-        starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
-        self.held[size].append((codes[starts], np.diff(np.append(starts, len(codes))).astype(np.int32)))
-        self.n_held += len(starts)
-
-    def run(self) -> None:
-        if not self.tokens:
-            return
-        a, fresh = np.concatenate(self.tokens), np.concatenate(self.fresh)
-        self.tokens, self.fresh, self.n_tokens = [], [], 0
-        if self.count_words:
-            self._keep(0, a[fresh & (a > 0)])
-        p, q = a[:-1], a[1:]
-        pair = (p > 0) & (q > 0)
-        if self.new is None:
-            at = np.flatnonzero(pair & fresh[1:])
-            self._keep(1, (p[at] << BITS) | q[at])
+        raw = text.encode().translate(LOWER_AND_CUT)
+        if len(raw) > CHUNK:
+            for chunk, carried in chunks(raw):
+                yield from self.count(Run(lang, chunk, carried))
             return
-        hashes = self.vocabulary.grown()
-        ok = has(self.new.words, hashes)
-        wanted = ok[p] & ok[q]
-        if self.old is not None:
-            before = has(self.old.words, hashes)
-            wanted &= ~(before[p] & before[q])
-        at = np.flatnonzero(pair & fresh[1:] & wanted)
-        self._keep(1, (p[at] << BITS) | q[at])
-        # triples: places whose pair and the next one are both proposed
-        at = np.flatnonzero(pair)
-        of_pair = pair_hash(hashes[p[at]], hashes[q[at]])
-        inside = np.zeros(len(pair), bool)
-        inside[at] = has(self.new.pairs, of_pair)
-        wanted = inside[:-1] & inside[1:] & fresh[2:]
-        if self.old is not None:
-            inside[at] = has(self.old.pairs, of_pair)
-            wanted &= ~(inside[:-1] & inside[1:])
-        at = np.flatnonzero(wanted)
-        self._keep(2, (a[at] << 2 * BITS) | (a[at + 1] << BITS) | a[at + 2])
+        self.waiting.setdefault(lang, []).append(raw)
+        self.size[lang] = self.size.get(lang, 0) + len(raw) + 1
+        if sum(self.size.values()) >= HELD:
+            yield from self.one_run(max(self.size, key=self.size.get))
+
+    def one_run(self, lang: str) -> Iterator[pa.RecordBatch]:
+        del self.size[lang]
+        yield from self.count(Run(lang, b"\n".join(self.waiting.pop(lang))))
 
     def flush(self) -> Iterator[pa.RecordBatch]:
-        """A row (bucket, entries) for each bucket that has phrases: the phrases
+        for lang in list(self.waiting):
+            yield from self.one_run(lang)
+
+    def count(self, run: Run) -> Iterator[pa.RecordBatch]:
+        """Rows (bucket, entries) for each bucket that has phrases: the phrases
         whose hash falls there, with their counts."""
-        self.run()
-        hashes = self.vocabulary.grown()
-        words, langs = pa.array(self.vocabulary.words, pa.binary()), pa.array(self.vocabulary.langs, pa.binary())
-        for size, held in enumerate(self.held):
-            codes, counts = merged(held)
-            held.clear()
-            if size == 0:  # the number of words of each language, with an empty phrase
-                table = pa.table({"lang": langs.take(pa.array(codes)), "n": counts}).group_by("lang").aggregate([("n", "sum")])
-                keys = pc.binary_join_element_wise(table["lang"].combine_chunks(), pa.scalar(b""), SEP)
-                yield from self._packed(keys, table["n_sum"].to_numpy(), np.zeros(len(keys), np.int64))
-            parts = [(codes >> BITS * k) & ((1 << BITS) - 1) for k in range(size, -1, -1)]
-            bucket = hashes[parts[0]]
-            for x in parts[1:]:
-                bucket = pair_hash(bucket, hashes[x])
-            bucket = (bucket % np.uint64(self.buckets)).astype(np.int64)
-            step = 1_000_000
-            for s in range(0, len(codes), step):
-                x = [words.take(pa.array(q[s:s + step])) for q in parts]
-                phrase = pc.binary_join_element_wise(*x, b" ") if size else x[0]
-                keys = pc.binary_join_element_wise(langs.take(pa.array(parts[0][s:s + step])), phrase, SEP)
-                yield from self._packed(keys, counts[s:s + step], bucket[s:s + step])
-        self.reset()
-
-    def _packed(self, keys: pa.Array, counts: np.ndarray, bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ids, h = run.ids, run.hashes
+        if self.count_words and len(ids) > run.carried:
+            # all words of the language, with an empty phrase
+            yield from self.packed(run, pa.array([b""]), np.array([len(ids) - run.carried]), np.zeros(1, np.int64))
+            yield from self.entries(run, 0, *distinct(ids[run.carried:].copy()))
+        pairs, triples = run.pairs, None
+        if self.new is not None and len(ids):
+            ok = has(self.new.words, h)[ids]
+            pairs = pairs & ok[1:] & ok[:-1]
+            of_pair = pair_hash(h[ids[:-1]], h[ids[1:]])
+            inside = has(self.new.pairs, of_pair)
+            triples = run.triples & inside[1:] & inside[:-1]
+            if self.old is not None:
+                ok = has(self.old.words, h)[ids]
+                pairs &= ~(ok[1:] & ok[:-1])
+                inside = has(self.old.pairs, of_pair)
+                triples &= ~(inside[1:] & inside[:-1])
+        at = np.flatnonzero(pairs)
+        yield from self.entries(run, 1, *distinct((ids[at] << BITS) | ids[at + 1]))
+        if triples is not None:
+            at = np.flatnonzero(triples)
+            yield from self.entries(run, 2, *distinct((ids[at] << 2 * BITS) | (ids[at + 1] << BITS) | ids[at + 2]))
+
+    def entries(self, run: Run, size: int, codes: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for s in range(0, len(codes), ENTRIES_AT_ONCE):
+            c = codes[s:s + ENTRIES_AT_ONCE]
+            parts = [(c >> BITS * k) & ((1 << BITS) - 1) for k in range(size, -1, -1)]
+            bucket = reduce(pair_hash, [run.hashes[x] for x in parts])
+            x = [run.words.take(pa.array(q)) for q in parts]
+            phrase = pc.binary_join_element_wise(*x, b" ") if size else x[0]
+            yield from self.packed(run, phrase, counts[s:s + ENTRIES_AT_ONCE], (bucket % np.uint64(self.buckets)).astype(np.int64))
+
+    def packed(self, run: Run, phrases: pa.Array, counts: np.ndarray, bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.argsort(bucket, kind="stable")
-        ordered = pa.record_batch([keys.take(pa.array(order)), pa.array(counts[order], pa.int64())], schema=ENTRIES)
+        ordered = pa.record_batch([phrases.take(pa.array(order)), pa.array(counts[order], pa.int64())], schema=ENTRIES)
         found, starts = np.unique(bucket[order], return_index=True)
         ends = np.append(starts, len(order))
-        rows, sizes = [], 0
-        for i, (s, e) in enumerate(zip(ends, ends[1:], strict=False)):
+        rows = []
+        for s, e in zip(ends, ends[1:], strict=False):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, ENTRIES) as out:
                 out.write_batch(ordered.slice(s, e - s))
             rows.append(sink.getvalue().to_pybytes())
-            sizes += len(rows[-1])
-            if sizes > 8_000_000 or i == len(found) - 1:
-                yield pa.record_batch([pa.array(found[i + 1 - len(rows):i + 1], pa.int64()), pa.array(rows, pa.binary())], names=["bucket", "entries"])
-                rows, sizes = [], 0
-
-
-def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct codes of all runs, and the sums of their counts."""
-    if not held:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    codes, counts = (np.concatenate(x) for x in zip(*held, strict=True))
-    order = np.argsort(codes, kind="stable")
-    codes, counts = codes[order], counts[order]
-    starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
-    return codes[starts], np.add.reduceat(counts, starts) if len(starts) else counts
+        yield pa.record_batch([pa.array(found, pa.int64()), pa.array([run.lang] * len(rows)), pa.array(rows, pa.binary())],
+                              names=["bucket", "lang", "entries"])
 
 
 def added_up(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Sum the counts of each bucket's phrases; its rows follow each other.
-    Rows (lang, phrase, n) of those with ``least``, and the languages' words."""
-    def out(blobs: list[pa.Buffer]) -> pa.RecordBatch:
+    """Sum the counts of the phrases of each bucket and language, whose rows
+    follow each other.  Rows (lang, phrase, n) of those with ``least``, and the
+    languages' numbers of words."""
+    def out(lang: str, blobs: list[pa.Buffer]) -> pa.RecordBatch:
         table = pa.concat_tables(pa.ipc.open_stream(x).read_all() for x in blobs)
-        table = table.group_by("key").aggregate([("n", "sum")])
-        rest = pc.ends_with(table["key"], SEP)
-        table = table.filter(pc.or_(rest, pc.greater_equal(table["n_sum"], least)))
-        parts = pc.split_pattern(table["key"], SEP).combine_chunks()
-        return pa.record_batch([pc.list_element(parts, 0).cast(pa.string()), pc.list_element(parts, 1).cast(pa.string()),
-                                table["n_sum"].combine_chunks()], names=["lang", "phrase", "n"])
-
-    bucket, blobs = None, []
+        table = table.group_by("phrase").aggregate([("n", "sum")])
+        table = table.filter(pc.or_(pc.equal(table["phrase"], b""), pc.greater_equal(table["n_sum"], least))).combine_chunks()
+        n = len(table)
+        phrase = table["phrase"].cast(pa.string()).combine_chunks() if n else pa.array([], pa.string())
+        counts = table["n_sum"].combine_chunks() if n else pa.array([], pa.int64())
+        return pa.record_batch([pa.array([lang] * n, pa.string()), phrase, counts], names=["lang", "phrase", "n"])
+
+    key, blobs = None, []
     for batch in batches:
-        for b, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            if b != bucket and blobs:
-                yield out(blobs)
+        for b, lang, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if (b, lang) != key and blobs:
+                yield out(key[1], blobs)
                 blobs = []
-            bucket = b
+            key = b, lang
             blobs.append(x.as_buffer())
     if blobs:
-        yield out(blobs)
+        yield out(key[1], blobs)
 
 
 def count(docs: DataFrame, least: int, words: bool, new: Broadcast | None, old: Broadcast | None) -> DataFrame:
@@ -312,8 +269,8 @@ def count(docs: DataFrame, least: int, words: bool, new: Broadcast | None, old:
                 yield from counter.add(lang.as_py(), text.as_py())
         yield from counter.flush()
 
-    parts = docs.select("lang", "text").mapInArrow(run, "bucket long, entries binary")
-    return parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
+    parts = docs.select("lang", "text").mapInArrow(run, "bucket long, lang string, entries binary")
+    return parts.repartition("bucket").sortWithinPartitions("bucket", "lang").mapInArrow(
         lambda batches: added_up(batches, least), "lang string, phrase string, n long")
 
 
@@ -330,10 +287,10 @@ def bits_of(phrases: DataFrame) -> DataFrame:
         for batch in batches:
             pair, places = [], []
             for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h = [np.uint64(word_hash(lang, w)) for w in phrase.encode().split(b" ")]
+                h = word_hashes(lang, phrase.encode().split(b" "))
                 pair.append(len(h) == 2)
                 places.append(int(h[0]) & (n_words_bits - 1) if len(h) == 1 else
-                              int(pair_hash(np.array(h[:1]), np.array(h[1:]))[0]) & (n_pairs_bits - 1))
+                              int(pair_hash(h[:1], h[1:])[0]) & (n_pairs_bits - 1))
             yield pa.record_batch([pa.array(pair, pa.bool_()), pa.array(places, pa.int64())], names=["pair", "place"])
 
     found = phrases.select("lang", "phrase").mapInArrow(run, "pair boolean, place long")
