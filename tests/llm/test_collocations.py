@@ -92,8 +92,8 @@ def counted(texts, words=True):
     counter, got = C.Counter(words, everything, None, 3), Counter()
     batches = [b for lang, t in texts for b in counter.add(lang, t)] + list(counter.flush())
     rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
-    kinds = C.pa.int64(), C.pa.string(), C.pa.binary()
-    packed = C.pa.record_batch([C.pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["bucket", "lang", "entries"])
+    kinds = C.pa.int64(), C.pa.binary()
+    packed = C.pa.record_batch([C.pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["bucket", "entries"])
     for b in C.added_up(iter([packed]), 1):
         for lang, p, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if p:

@@ -55,13 +55,11 @@ SAMPLE, SAMPLE_COUNT = 16, 2
 WORD_BITS, PAIR_BITS = 1 << 24, 1 << 26
 SALTS = 64
 #: Bytes of a chunk of a long text, of the texts of a run; entries at once.
-CHUNK, HELD, ENTRIES_AT_ONCE = 4 << 20, 12 << 20, 500_000
-#: Buckets of phrases for each shuffle partition.
-BUCKETS = 4
+CHUNK, HELD, ENTRIES_AT_ONCE = 4 << 20, 12 << 20, 1_000_000
 #: A word's number in a packed phrase.
 BITS = 21
 
-ENTRIES = pa.schema([("phrase", pa.binary()), ("n", pa.int64())])
+ENTRIES = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("n", pa.int64())])
 
 
 def _table() -> bytes:
@@ -161,6 +159,8 @@ class Counter:
         self.count_words, self.new, self.old, self.buckets = words, new, old, buckets
         self.waiting: dict[str, list[bytes]] = {}
         self.size: dict[str, int] = {}
+        self.found: list[tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]] = []
+        self.n_found = 0
 
     def add(self, lang: str, text: str) -> Iterator[pa.RecordBatch]:
         raw = text.encode().translate(LOWER_AND_CUT)
@@ -180,14 +180,15 @@ class Counter:
     def flush(self) -> Iterator[pa.RecordBatch]:
         for lang in list(self.waiting):
             yield from self.one_run(lang)
+        yield from self.packed()
 
     def count(self, run: Run) -> Iterator[pa.RecordBatch]:
-        """Rows (bucket, entries) for each bucket that has phrases: the phrases
-        whose hash falls there, with their counts."""
+        """Rows (bucket, entries) for each bucket that has phrases: those whose
+        hash falls there, with their counts."""
         ids, h = run.ids, run.hashes
         if self.count_words and len(ids) > run.carried:
             # all words of the language, with an empty phrase
-            yield from self.packed(run, pa.array([b""]), np.array([len(ids) - run.carried]), np.zeros(1, np.int64))
+            yield from self.keep(run, pa.array([b""]), np.array([len(ids) - run.carried]), np.zeros(1, np.int64))
             yield from self.entries(run, 0, *distinct(ids[run.carried:].copy()))
         pairs, triples = run.pairs, None
         if self.new is not None and len(ids):
@@ -214,11 +215,23 @@ class Counter:
             bucket = reduce(pair_hash, [run.hashes[x] for x in parts])
             x = [run.words.take(pa.array(q)) for q in parts]
             phrase = pc.binary_join_element_wise(*x, b" ") if size else x[0]
-            yield from self.packed(run, phrase, counts[s:s + ENTRIES_AT_ONCE], (bucket % np.uint64(self.buckets)).astype(np.int64))
+            yield from self.keep(run, phrase, counts[s:s + ENTRIES_AT_ONCE], (bucket % np.uint64(self.buckets)).astype(np.int64))
 
-    def packed(self, run: Run, phrases: pa.Array, counts: np.ndarray, bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def keep(self, run: Run, phrases: pa.Array, counts: np.ndarray, bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.found.append((pa.array([run.lang]).take(pa.array(np.zeros(len(phrases), np.int8))), phrases, counts, bucket))
+        self.n_found += len(phrases)
+        if self.n_found >= ENTRIES_AT_ONCE:
+            yield from self.packed()
+
+    def packed(self) -> Iterator[pa.RecordBatch]:
+        if not self.found:
+            return
+        langs, phrases, counts, buckets = zip(*self.found, strict=True)
+        self.found, self.n_found = [], 0
+        bucket = np.concatenate(buckets)
         order = np.argsort(bucket, kind="stable")
-        ordered = pa.record_batch([phrases.take(pa.array(order)), pa.array(counts[order], pa.int64())], schema=ENTRIES)
+        columns = [pa.concat_arrays(langs), pa.concat_arrays(phrases), pa.array(np.concatenate(counts), pa.int64())]
+        ordered = pa.record_batch(columns, schema=ENTRIES).take(pa.array(order))
         found, starts = np.unique(bucket[order], return_index=True)
         ends = np.append(starts, len(order))
         rows = []
@@ -227,40 +240,36 @@ class Counter:
             with pa.ipc.new_stream(sink, ENTRIES) as out:
                 out.write_batch(ordered.slice(s, e - s))
             rows.append(sink.getvalue().to_pybytes())
-        yield pa.record_batch([pa.array(found, pa.int64()), pa.array([run.lang] * len(rows)), pa.array(rows, pa.binary())],
-                              names=["bucket", "lang", "entries"])
+        yield pa.record_batch([pa.array(found, pa.int64()), pa.array(rows, pa.binary())], names=["bucket", "entries"])
 
 
 def added_up(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Sum the counts of the phrases of each bucket and language, whose rows
-    follow each other.  Rows (lang, phrase, n) of those with ``least``, and the
-    languages' numbers of words."""
-    def out(lang: str, blobs: list[pa.Buffer]) -> pa.RecordBatch:
+    """Sum the counts of each bucket's phrases; its rows follow each other.
+    Rows (lang, phrase, n) of those with ``least``, and the languages' numbers
+    of words."""
+    def out(blobs: list[pa.Buffer]) -> Iterator[pa.RecordBatch]:
         table = pa.concat_tables(pa.ipc.open_stream(x).read_all() for x in blobs)
-        table = table.group_by("phrase").aggregate([("n", "sum")])
-        table = table.filter(pc.or_(pc.equal(table["phrase"], b""), pc.greater_equal(table["n_sum"], least))).combine_chunks()
-        n = len(table)
-        phrase = table["phrase"].cast(pa.string()).combine_chunks() if n else pa.array([], pa.string())
-        counts = table["n_sum"].combine_chunks() if n else pa.array([], pa.int64())
-        return pa.record_batch([pa.array([lang] * n, pa.string()), phrase, counts], names=["lang", "phrase", "n"])
-
-    key, blobs = None, []
+        table = table.group_by(["lang", "phrase"]).aggregate([("n", "sum")])
+        table = table.filter(pc.or_(pc.equal(table["phrase"], b""), pc.greater_equal(table["n_sum"], least)))
+        yield from pa.table({"lang": table["lang"], "phrase": table["phrase"].cast(pa.string()), "n": table["n_sum"]}).to_batches()
+
+    bucket, blobs = None, []
     for batch in batches:
-        for b, lang, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            if (b, lang) != key and blobs:
-                yield out(key[1], blobs)
+        for b, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if b != bucket and blobs:
+                yield from out(blobs)
                 blobs = []
-            key = b, lang
+            bucket = b
             blobs.append(x.as_buffer())
     if blobs:
-        yield out(key[1], blobs)
+        yield from out(blobs)
 
 
 def count(docs: DataFrame, least: int, words: bool, new: Broadcast | None, old: Broadcast | None) -> DataFrame:
     """(lang, phrase, n), the sums over all of ``docs(lang, text)`` that reach
-    ``least``, and the languages' numbers of words, with an empty phrase.  A
-    bucket has a BUCKETS-th of a shuffle partition's share of all entries."""
-    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ``least``, and the languages' numbers of words, with an empty phrase.  There
+    is a bucket for each shuffle partition."""
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(words, new.value if new else None, old.value if old else None, buckets)
@@ -269,8 +278,8 @@ def count(docs: DataFrame, least: int, words: bool, new: Broadcast | None, old:
                 yield from counter.add(lang.as_py(), text.as_py())
         yield from counter.flush()
 
-    parts = docs.select("lang", "text").mapInArrow(run, "bucket long, lang string, entries binary")
-    return parts.repartition("bucket").sortWithinPartitions("bucket", "lang").mapInArrow(
+    parts = docs.select("lang", "text").mapInArrow(run, "bucket long, entries binary")
+    return parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
         lambda batches: added_up(batches, least), "lang string, phrase string, n long")
 
 
