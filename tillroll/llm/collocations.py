@@ -55,7 +55,7 @@ SAMPLE, SAMPLE_COUNT = 16, 2
 WORD_BITS, PAIR_BITS = 1 << 24, 1 << 26
 SALTS = 64
 #: Bytes of a chunk of a long text, of the texts of a run; entries at once.
-CHUNK, HELD, ENTRIES_AT_ONCE = 4 << 20, 12 << 20, 1_000_000
+CHUNK, HELD, ENTRIES_AT_ONCE = 4 << 20, 8 << 20, 250_000
 #: A word's number in a packed phrase.
 BITS = 21
 
