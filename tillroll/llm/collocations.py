@@ -59,6 +59,9 @@ CHUNK, HELD, ENTRIES_AT_ONCE = 4 << 20, 8 << 20, 250_000
 #: A word's number in a packed phrase.
 BITS = 21
 
+#: Buckets of phrases for each shuffle partition; a task adds up one at a time.
+BUCKETS = 2
+PACKED = pa.ipc.IpcWriteOptions(compression="lz4")
 ENTRIES = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("n", pa.int64())])
 
 
@@ -237,7 +240,7 @@ class Counter:
         rows = []
         for s, e in zip(ends, ends[1:], strict=False):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, ENTRIES) as out:
+            with pa.ipc.new_stream(sink, ENTRIES, options=PACKED) as out:
                 out.write_batch(ordered.slice(s, e - s))
             rows.append(sink.getvalue().to_pybytes())
         yield pa.record_batch([pa.array(found, pa.int64()), pa.array(rows, pa.binary())], names=["bucket", "entries"])
@@ -268,8 +271,8 @@ def added_up(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Recor
 def count(docs: DataFrame, least: int, words: bool, new: Broadcast | None, old: Broadcast | None) -> DataFrame:
     """(lang, phrase, n), the sums over all of ``docs(lang, text)`` that reach
     ``least``, and the languages' numbers of words, with an empty phrase.  There
-    is a bucket for each shuffle partition."""
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    are BUCKETS buckets for each shuffle partition."""
+    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(words, new.value if new else None, old.value if old else None, buckets)
