@@ -244,6 +244,8 @@ class Counter:
                 out.write_batch(ordered.slice(s, e - s))
             rows.append(sink.getvalue().to_pybytes())
         yield pa.record_batch([pa.array(found, pa.int64()), pa.array(rows, pa.binary())], names=["bucket", "entries"])
+        del columns, ordered, rows
+        pa.default_memory_pool().release_unused()
 
 
 def added_up(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -252,9 +254,11 @@ def added_up(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Recor
     of words."""
     def out(blobs: list[pa.Buffer]) -> Iterator[pa.RecordBatch]:
         table = pa.concat_tables(pa.ipc.open_stream(x).read_all() for x in blobs)
-        table = table.group_by(["lang", "phrase"]).aggregate([("n", "sum")])
+        table = table.group_by(["lang", "phrase"], use_threads=False).aggregate([("n", "sum")])
         table = table.filter(pc.or_(pc.equal(table["phrase"], b""), pc.greater_equal(table["n_sum"], least)))
         yield from pa.table({"lang": table["lang"], "phrase": table["phrase"].cast(pa.string()), "n": table["n_sum"]}).to_batches()
+        del table
+        pa.default_memory_pool().release_unused()
 
     bucket, blobs = None, []
     for batch in batches:
@@ -332,7 +336,7 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
                        F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLE)).alias("part"))
-    sample = count(rows.filter("part = 0"), SAMPLE_COUNT, True, None, None)
+    sample = materialize(count(rows.filter("part = 0"), SAMPLE_COUNT, True, None, None), "sampled-phrases")
     proposed, _ = extended(Proposed.none(), sample.filter("phrase != ''"))
     passes, old, gained = [], None, 1
     while gained:
