@@ -60,8 +60,8 @@ def test_exact_quantiles_with_ties(spark, q):
 def test_csv_keeps_quotes_breaks_and_spaces(spark, tmp_path):
     rows = [('say "hi", ok', "  a  ", "1"), ("two\nlines", "x,y", None), ("\\", '""', "3")]
     csv_io.write_csv(spark.createDataFrame(rows, "a string, b string, c string").coalesce(1), str(tmp_path / "x"))
-    assert {tuple(r) for r in csv_io.read_csv_strings(spark, str(tmp_path / "x")).collect()} == set(rows)
-    typed = csv_io.read_csv_projected(spark, str(tmp_path / "x"), {"a": None, "c": F.col("c").cast("int")})
+    assert {tuple(r) for r in csv_io.read_csv_strings(spark, str(tmp_path / "x"), multiline=True).collect()} == set(rows)
+    typed = csv_io.read_csv_projected(spark, str(tmp_path / "x"), {"a": None, "c": F.col("c").cast("int")}, multiline=True)
     assert sorted(r.c or 0 for r in typed.collect()) == [0, 1, 3]
 
 

@@ -368,7 +368,8 @@ import uuid  # noqa: E402
 from tillroll.functions.names import normalize_headers  # noqa: E402
 from tillroll.operators import quality as Q  # noqa: E402
 from tillroll.plans.product_master import product_master  # noqa: E402
-from tillroll.plans.sales import SalesConfig, sales_pipeline  # noqa: E402
+from tillroll.plans.sales import SalesConfig, load_exports, sales_pipeline  # noqa: E402
+from tillroll.sources.fixtures import YEAR_SPLIT_INVOICE, write_yearly_exports  # noqa: E402
 from tillroll.session import ensure_checkpoint_dir  # noqa: E402
 from tillroll.functions.names import find_column, insert_column, reorder  # noqa: E402
 from tillroll.sources.csv_io import read_csv_projected, read_csv_strings, write_csv  # noqa: E402
@@ -420,10 +421,20 @@ def q_product_master(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _product_master(spark, sf_dir)
 
 
+def _sales_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/exports-{uuid.uuid4().hex}"
+    return load_exports(spark, write_yearly_exports(spark, sf_dir, folder))
+
+
+def q_sales_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1 + H2 + U1 + P11 + O1: two yearly CSV files written, read, aligned,
+    appended, incomplete rows dropped, rows numbered in file order."""
+    return _sales_files(spark, sf_dir)
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sales = sales_view(spark, sf_dir, with_pos=True)
     cfg = SalesConfig(cust_salt=CUST_SALT, serial_key=SERIAL_KEY)
-    out, _ = sales_pipeline(sales, _product_master(spark, sf_dir), cfg)
+    out, _ = sales_pipeline(_sales_files(spark, sf_dir).drop("source_id"), _product_master(spark, sf_dir), cfg, stage_raw=False)
     return out
 
 
@@ -443,6 +454,7 @@ QUERIES.update({
     "column_stats": q_column_stats,
     "csv_roundtrip": q_csv_roundtrip,
     "product_master": q_product_master,
+    "sales_files": q_sales_files,
     "sales_pipeline": q_sales_pipeline,
     "sales_event_impact": q_sales_event_impact,
 })
@@ -482,8 +494,6 @@ def q_event_impact_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.round_numeric(out, 2)
 
 
-YEAR_SPLIT_INVOICE = 40 * 366   # invoices whose base date falls in 2024
-
 
 def q_sales_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """U1 + H2 + H1 + P11: two yearly exports, the older with its own header

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.operators.ordering import with_position
+from tillroll.sources.csv_io import write_csv
 from tillroll.sources.tables import read_table
 
 PAYMENT_COLS = ["cash", "card", "payoo", "banking", "mkt", "vnpay", "trade_in"]
@@ -125,6 +126,35 @@ def sales_view(spark: SparkSession, sf_dir: str, with_pos: bool = False,
     return out
 
 
+#: Invoices below stand in the older yearly file.
+YEAR_SPLIT_INVOICE = 40 * 366
+#: The columns of the yearly files, the four that a full line always has first.
+EXPORT_COLUMNS = ["invoice", "ean", "sa", "cat", "date", "time", "imei_sn", "qty", "price", "shelf_label", "disc_percent",
+                  "disc_amount", "revenue", *PAYMENT_COLS, "phone", "name", "email", "vat", "note"]
+
+
+def write_yearly_exports(spark: SparkSession, sf_dir: str, folder: str) -> list[str]:
+    """The sales lines as two yearly CSV files in row order, the older with its
+    own header spelling.  Every invoice that ends in 7 has a subtotal line,
+    without the first four fields, after its first line."""
+    keys = [F.col(c) for c in SALES_ORDER_KEYS]
+    lines = sales_view(spark, sf_dir, keep_keys=True).withColumns({"vat": F.lit("10%"), "note": F.lit(None).cast("string")})
+    subtotal = F.when((F.col("invoice") % 10 == 7) & (F.col("l_linenumber") == 1), F.lit(1))
+    lines = lines.withColumn("_sub", F.explode(F.array_compact(F.array(F.lit(0), subtotal))))
+    lines = lines.withColumn("_older", F.col("invoice") < YEAR_SPLIT_INVOICE)
+    full = F.col("_sub") == 0
+    lines = lines.withColumns({c: F.when(full, F.col(c)) for c in EXPORT_COLUMNS[:4]}
+                              | {"note": F.when(~full, F.lit("subtotal")), "name": F.when(full, F.col("name"))})
+    paths = []
+    for older in (True, False):
+        path = f"{folder.rstrip('/')}/sales-{'older' if older else 'newer'}"
+        part = lines.filter(F.col("_older") if older else ~F.col("_older"))
+        part = part.repartitionByRange(*keys, "_sub").sortWithinPartitions(*keys, "_sub").select(*EXPORT_COLUMNS)
+        write_csv(part.toDF(*[f" {c.replace('_', '  ').title()} " if older else c for c in EXPORT_COLUMNS]), path)
+        paths.append(path)
+    return paths
+
+
 def product_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Product list (FIXTURES.md §3.2) with ``pos`` = file order; parts with
     p_partkey < 100 appear a second time, later, with price + 1."""
