@@ -60,15 +60,17 @@ def parse_date_lenient(c: str | Column,
                        ) -> Column:
     """Trim, lower, '/' -> '-', sentinels -> null, then T1, then the
     fixed ordered list of extra patterns."""
-    s = F.translate(F.lower(F.trim(_col(c).cast("string"))), "/", "-")
+    text = F.trim(_col(c).cast("string"))
+    s = F.translate(F.lower(text), "/", "-")
     s = F.when(~s.isin(SENTINELS_DATE), s)
-    any_shape = _anchored_union([shape for _, shape in (YMD, DMY, *extra_patterns)])
+    # as the text is written, before it is lowered and translated
+    any_shape = "(?i)" + _anchored_union([shape for _, shape in (YMD, DMY, *extra_patterns)]).replace("-", "[-/]").replace("a[-/]z", "a-z")
 
     tries = [F.when(s.rlike(shape), F.try_to_date(s, p)) for p, shape in (YMD, DMY)]
     tries += [F.when(s.rlike(shape), F.to_date(F.try_to_timestamp(s, F.lit(p))))
               for p, shape in extra_patterns]
     # one combined shape test first: text that fits no pattern costs one regex
-    return F.when(s.rlike(any_shape), F.coalesce(*tries))
+    return F.when(text.rlike(any_shape), F.coalesce(*tries))
 
 
 def parse_time(c: str | Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tillroll.operators.ordering import with_position
 from tillroll.sources.csv_io import write_csv
-from tillroll.sources.tables import read_table
+from tillroll.sources.tables import read_table, spread
 
 PAYMENT_COLS = ["cash", "card", "payoo", "banking", "mkt", "vnpay", "trade_in"]
 DISC_COLS = ["disc_percent", "disc_amount"]
@@ -40,8 +40,7 @@ def sales_lines(spark: SparkSession, sf_dir: str, with_pos: bool = False) -> Dat
     li = read_table(spark, sf_dir, "lineitem", [
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_discount"])
-    if with_pos:
-        li = with_position(li, SALES_ORDER_KEYS, pos_col="pos")
+    li = with_position(li, SALES_ORDER_KEYS, pos_col="pos") if with_pos else spread(li)
     o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"])
     c = read_table(spark, sf_dir, "customer", ["c_custkey", "c_name"])
     p = read_table(spark, sf_dir, "part", ["p_partkey", "p_type"])
@@ -155,6 +154,41 @@ def write_yearly_exports(spark: SparkSession, sf_dir: str, folder: str) -> list[
     return paths
 
 
+def nameless_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines under names that no name rule knows, so that content decides:
+    each detector has a column that it accepts, and one that misses it by little."""
+    li = spread(read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice"]))
+    k, p, n = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber")
+    h = (k * 7 + p * 3 + n) % 100
+    day = F.date_add(F.lit("2023-01-01").cast("date"), (k % 700).cast("int"))
+    null = F.lit(None).cast("string")
+    digits = F.lpad((k * 13 + p).cast("string"), 8, "0")
+    text = lambda c: c.cast("string")
+    return li.select(
+        # boolean: two words in any case, blanks around; one in ten missing, 8 % other text
+        F.when(h % 10 == 9, null).when(h % 2 == 0, F.lit(" YES")).otherwise(F.lit("no ")).alias("aa"),
+        F.when(h < 8, F.lit("yes?")).when(h % 2 == 0, F.lit("yes")).otherwise(F.lit("no")).alias("ab"),
+        F.when(h % 3 == 0, F.lit("yes")).when(h % 3 == 1, F.lit("no")).otherwise(F.lit("true")).alias("ac"),
+        (h % 2 == 0).alias("ad"),
+        # phones: 9 to 11 digits with hyphens and blanks; one digit too many on average
+        F.when(h < 9, F.lit("1-000")).otherwise(F.concat(F.lit("09"), F.substring(digits, 1, 4), F.lit("-"), F.substring(digits, 5, 4))).alias("ba"),
+        F.concat(F.lit("0912"), digits).alias("bb"),
+        # dates in three spellings; eleven in a hundred don't parse; a date column
+        F.when(h % 3 == 0, F.date_format(day, "yyyy-MM-dd")).when(h % 3 == 1, F.date_format(day, "d/M/yyyy"))
+        .otherwise(F.date_format(day, "yyyy/M/d H:m")).alias("ca"),
+        F.when(h < 11, F.lit("in - week 9")).otherwise(F.date_format(day, "yyyy-MM-dd")).alias("cb"),
+        F.date_format(day, "yyyyMMdd").alias("cc"),
+        day.alias("cd"),
+        # numbers: grouped money, plain, nine in a hundred words; eleven in a hundred
+        F.format_number(F.col("l_extendedprice"), 2).alias("da"),
+        F.when(h < 9, F.lit("free")).otherwise(F.concat(F.lit(" -"), text(F.col("l_quantity").cast("int")), F.lit("e1"))).alias("db"),
+        F.when(h < 11, F.lit("free")).otherwise(F.concat(F.lit("6"), text(p))).alias("dc"),
+        # categories of 2, 33 and 34 values, of texts that differ by a blank only, one value
+        F.concat(F.lit("x"), text(h % 2)).alias("ea"), F.concat(F.lit("x"), text(p % 33)).alias("eb"),
+        F.concat(F.lit("x"), text(p % 34)).alias("ec"), F.concat(F.repeat(F.lit(" "), (p % 40).cast("int")), F.lit("x")).alias("ed"),
+        F.lit("same").alias("ee"), F.concat(F.lit("x"), text(k), F.lit("/"), text(n)).alias("ef"), null.alias("eg"))
+
+
 def product_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Product list (FIXTURES.md §3.2) with ``pos`` = file order; parts with
     p_partkey < 100 appear a second time, later, with price + 1."""

@@ -22,3 +22,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str,
     """Read one table; selecting ``columns`` up front keeps ReadSchema narrow."""
     df = spark.read.parquet(table_path(sf_dir, name))
     return df.select(*columns) if columns else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out a frame that is read in fewer splits than the session has cores
+    (one large file, say), so that the work on top of it isn't a few tasks'.
+    Frames of many splits stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
