@@ -102,6 +102,7 @@ from tillroll.functions import numeric as M  # noqa: E402
 from tillroll.operators import cleaning as CL  # noqa: E402
 from tillroll.operators import customers as C  # noqa: E402
 from tillroll.operators import products as P  # noqa: E402
+from tillroll.operators.lookup import lookup  # noqa: E402
 from tillroll.operators import profile as PR  # noqa: E402
 from tillroll.operators import revenue as RV  # noqa: E402
 from tillroll.sources.fixtures import (  # noqa: E402
@@ -161,8 +162,18 @@ def q_sku_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J4 + J5: SKU of each sales line from the product master by EAN."""
     prod = _products(spark, sf_dir).select(
         X.normalize_key(F.col("ean")).alias("ean"), F.col("master_sku").alias("sku"))
-    lines = sales_view(spark, sf_dir).select("invoice", X.normalize_key("ean").alias("ean"))
-    return lines.join(prod, "ean", "left")
+    lines = materialize(sales_view(spark, sf_dir).select("invoice", X.normalize_key("ean").alias("ean")), "lookup-lines")
+    return lookup(lines, prod, "ean")
+
+
+def q_sku_lookup_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J4 with one EAN on most of the lines and lines without any."""
+    prod = _products(spark, sf_dir).select(
+        X.normalize_key(F.col("ean")).alias("ean"), F.col("master_sku").alias("sku"))
+    h = F.col("invoice") % 20
+    lines = sales_view(spark, sf_dir).select("invoice", F.when(h == 0, F.lit(None).cast("string")).when(
+        h < 18, F.lit("8930000000007")).otherwise(X.normalize_key("ean")).alias("ean"))
+    return lookup(materialize(lines, "lookup-lines"), prod, "ean")
 
 
 # --- reports ---------------------------------------------------------------
@@ -297,6 +308,7 @@ QUERIES.update({
     "colour_size_name": q_colour_size_name,
     "price_mask": q_price_mask,
     "sku_lookup": q_sku_lookup,
+    "sku_lookup_hot": q_sku_lookup_hot,
     "category_report": q_category_report,
     "month_category_dense": q_month_category_dense,
     "salesperson_revenue": q_salesperson_revenue,
