@@ -161,9 +161,13 @@ def fill_within_groups(df: DataFrame, group_cols: Sequence[str], pos_col: str,
 def keep_first_per_key(df: DataFrame, key_cols: Sequence[str], pos_col: str) -> DataFrame:
     """Drop duplicate keys keeping the row with the smallest position.
 
-    Aggregation (``min_by`` over a struct) is combined map-side, so a hot
-    key never lands whole on one reducer."""
-    others = [c for c in df.columns if c not in key_cols]
-    agg = df.groupBy(*key_cols).agg(
-        F.min_by(F.struct(*[F.col(c) for c in others]), F.col(pos_col)).alias("_row"))
-    return agg.select(*key_cols, *[F.col(f"_row.{c}").alias(c) for c in others]).select(*df.columns)
+    The smallest position per key is a hash aggregate of fixed width, combined
+    in the tasks; the rows are then fetched by key and position, so that a hot
+    key's rows are spread.  Rows with a null key are one key; positions are
+    unique."""
+    first = df.groupBy(*key_cols).agg(F.min(pos_col).alias("_pos")).select(
+        *[F.col(c).alias(f"_k_{c}") for c in key_cols], "_pos")
+    same = F.col(pos_col) == F.col("_pos")
+    for c in key_cols:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    return df.join(first, same, "left_semi")

@@ -134,7 +134,7 @@ def q_customer_master(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_customer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _customers(spark, sf_dir)
+    lines = materialize(_customers(spark, sf_dir), "customer-lines")
     master = C.code_customers(C.customer_master(lines), CUST_SALT)
     return C.attach_customers(lines, master, CUST_SALT).select(
         "pos", "invoice", "phone", "id", "name", "email")
