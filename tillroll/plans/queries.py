@@ -587,12 +587,30 @@ def q_csv_projected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_rules_asserted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D2 as hard checks, on lines that keep the rules."""
-    rules = Q.quality_rules(sales_view(spark, sf_dir).filter("qty >= 0"))
-    Q.assert_rules(rules)
-    return rules
+    """D2 as pass or fail over all lines."""
+    return Q.judge_rules(Q.quality_rules(sales_view(spark, sf_dir)))
+
+
+def _line_rules() -> dict:
+    return {"qty_positive": F.col("qty") > 0, "revenue_known": F.col("revenue").isNotNull(),
+            "price_covers_revenue": F.col("revenue") <= F.col("price") * F.col("qty"),
+            "phone_known": X.clean_phone(X.normalize_ws("phone")).isNotNull()}
+
+
+def q_rules_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D2 + D4: the quarantined lines with the rules that they break."""
+    _, bad, _ = Q.split_by_rules(sales_view(spark, sf_dir), _line_rules())
+    return R.round_numeric(bad.select("invoice", "ean", "qty", "price", "revenue", F.array_join("broken_rules", " ").alias("broken")), 4)
+
+
+def q_rules_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D2 + D4: the lines that keep every rule, counted with the lines and the
+    breaches that the pass observed."""
+    kept, _, counts = Q.split_by_rules(sales_view(spark, sf_dir), _line_rules())
+    return kept.agg(F.count(F.lit(1)).alias("kept")).select("kept", *[F.lit(n).cast("long").alias(k) for k, n in counts.items()])
 
 
 QUERIES.update({"reprice_row": q_reprice_row, "payment_groups_literal": q_payment_groups_literal,
                 "header_tools": q_header_tools, "csv_projected": q_csv_projected,
-                "rules_asserted": q_rules_asserted})
+                "rules_asserted": q_rules_asserted, "rules_quarantine": q_rules_quarantine,
+                "rules_kept": q_rules_kept})

@@ -53,7 +53,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
-def materialize(df, label: str = "stage"):
+def materialize(df, label: str = "stage", partition_by: str | None = None):
     """Write ``df`` as a Parquet table under the checkpoint folder and read it
     back: the lineage is cut (a lost executor restarts from the table, not
     from the sources) and later readers get column pruning."""
@@ -62,5 +62,8 @@ def materialize(df, label: str = "stage"):
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tables/{label}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    schema = df.schema
+    df.write.mode("overwrite").parquet(path, partitionBy=partition_by)
+    if partition_by:  # a table without rows has no folder to take the schema from
+        return spark.read.schema(schema).parquet(path)
     return spark.read.parquet(path)
