@@ -154,3 +154,14 @@ def test_decoding_by_the_token_table(spark, tik):
     table = {r.id: bytes(r.bytes) for r in byte_bpe.token_bytes(spark, BYTE).filter(f"id in ({','.join(map(str, set(ids)))})").collect()}
     assert b"".join(table[i] for i in ids) == "Any text, 漢字!".encode()
     assert hashlib.sha256(b"".join(table[i] for i in ids)).hexdigest()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="aBtsrev'’ 5½-_.<|>/̸́éİſ\t\n\x1c  4", max_size=24), max_size=5))
+def test_word_ids_are_the_library_s(texts_given):
+    from tillroll.llm import word_tokens
+    path = WORD
+    texts_given = [*texts_given, "<|endoftext|>" if len(texts_given) == 3 else "it's"]
+    ids, at = word_tokens.WordIds(path).encode(texts_given)
+    want = [word_tokens.tokenizer(path).encode(t, add_special_tokens=False).ids for t in texts_given]
+    assert [ids[s:e].tolist() for s, e in zip(at, at[1:])] == want

@@ -1,8 +1,8 @@
 """Token ids of whole texts for a ``tokenizers`` file that drops white space.
 
-The pre-tokenizer of such a file never joins two white-space separated words,
-and its normalizer works inside a word, so the ids of a text are the ids of
-its words, one after the other.  Each worker keeps the ids of the words that
+The pre-tokenizer of such a file (letters, single digits, marks, contractions)
+never joins two white-space separated words, and its normalizer works inside a
+word, so the ids of a text are the ids of its words, one after the other.  Each worker keeps the ids of the words that
 it has met (a bounded cache) and asks the library for new words only.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pyarrow as pa
 
 from tillroll.llm.common import RaggedTable, Symbols
 
@@ -42,12 +43,48 @@ def library_ids(path: str, words: list[str]) -> list[list[int]]:
     return [e.ids for e in t.encode_batch_fast(words, add_special_tokens=False)]
 
 
-def words_of(text: str) -> list[str]:
-    """White-space separated words; a text with a control character on which
-    Python and the library differ stays one piece."""
-    if any(c in text for c in NOT_SPACE):
-        return [text]
-    return text.split()
+def _classes() -> np.ndarray:
+    """Of each byte: white space, letter, digit, apostrophe, other ASCII mark,
+    or a byte next to which nothing is cut."""
+    of = np.full(256, OTHER, np.uint8)
+    of[0x21:0x7F] = MARK
+    of[[32, *range(9, 14)]] = SPACE
+    of[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1)]] = LETTER
+    of[ord("0"):ord("9") + 1] = DIGIT
+    of[ord("'")] = APOSTROPHE
+    return of
+
+
+SPACE, LETTER, DIGIT, APOSTROPHE, MARK, OTHER = range(6)
+CLASS = _classes()
+#: Between which classes the pre-tokenizer always cuts: around each digit, from
+#: a letter to a mark, and from a mark to a letter unless it is an apostrophe,
+#: which may begin a contraction.
+CUTS = np.zeros((6, 6), bool)
+CUTS[DIGIT, LETTER:OTHER] = CUTS[LETTER:OTHER, DIGIT] = True
+CUTS[LETTER, APOSTROPHE:OTHER] = CUTS[MARK, LETTER] = True
+LOWER = bytes(range(256)).lower()
+
+
+def cut_words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts in a row, cut in arrays at the white space of ASCII
+    and where the pre-tokenizer cuts anyway, with A-Z in lower case, and how
+    many words stand before each text.  Whatever else is to be cut or lowered
+    the library does.  Texts that may hold special strings are cut at white
+    space only and keep their case."""
+    joined = b"\n".join(texts)
+    special = b"<|" in joined
+    raw = np.frombuffer(joined if special else joined.translate(LOWER), np.uint8)
+    kind = CLASS[raw]
+    inside = kind != SPACE
+    starts = inside.copy()
+    if len(raw):
+        starts[1:] &= ~inside[:-1] if special else ~inside[:-1] | CUTS.ravel()[kind[:-1] * np.uint8(6) + kind[1:]]
+    starts = np.flatnonzero(starts)
+    offsets = np.append(np.cumsum(inside, dtype=np.int64)[starts] - 1, np.count_nonzero(inside)).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw[inside])])
+    first = np.cumsum([0] + [len(t) + 1 for t in texts])
+    return words, np.searchsorted(starts, first)
 
 
 class WordIds:
@@ -64,9 +101,9 @@ class WordIds:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.symbols) > CACHE_WORDS or self.symbols.chars > CACHE_CHARS:
             self._clear()
-        parts = [self.symbols.number(words_of(t)) for t in texts]
+        words, before = cut_words([t.encode() for t in texts])
+        coded = words.dictionary_encode()
+        numbers = self.symbols.number(coded.dictionary.cast(pa.large_string()).to_pylist())
         self.table.extend(library_ids(self.path, self.symbols.take_fresh()))
-        words = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        ids, at = self.table.take(words)
-        ends = np.cumsum([0] + [len(p) for p in parts])
-        return ids, at[ends]
+        ids, at = self.table.take(numbers[coded.indices.to_numpy()])
+        return ids, at[before]
