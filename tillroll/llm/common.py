@@ -67,6 +67,10 @@ class RaggedTable:
         self.flat = np.concatenate([self.flat, fresh])
         self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(lens)])
 
+    def extend_flat(self, fresh: np.ndarray, lens: np.ndarray) -> None:
+        self.flat = np.concatenate([self.flat, fresh.astype(self.flat.dtype)])
+        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(lens)])
+
     def take(self, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return ragged_take(self.flat, self.offsets, idx)
 

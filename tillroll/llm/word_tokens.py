@@ -13,7 +13,7 @@ import os
 import numpy as np
 import pyarrow as pa
 
-from tillroll.llm.common import RaggedTable, Symbols
+from tillroll.llm.common import RaggedTable, Symbols, ragged_take
 
 #: The cache of a worker starts anew beyond so many words or characters.
 CACHE_WORDS = 600_000
@@ -87,6 +87,59 @@ def cut_words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
     return words, np.searchsorted(starts, first)
 
 
+#: Words handed to the library in one text, blanks between them.
+JOINED = 512
+ONE_PIECE = frozenset("0123456789")
+MARKS = bytes(b for b in range(0x21, 0x7F) if CLASS[b] == MARK).decode()
+_ENDS: dict[str, np.ndarray] = {}
+
+
+def ends_of(path: str) -> np.ndarray:
+    """Of each id whether its token ends a piece of the pre-tokenizer."""
+    if path not in _ENDS:
+        vocabulary = tokenizer(path).get_vocab()
+        ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        _ENDS[path] = ends
+    return _ENDS[path]
+
+
+def is_one_piece(word: str) -> bool:
+    """Whether the pre-tokenizer leaves the word whole: letters, a digit, marks."""
+    return word.isalpha() and word.lower().isalpha() or word in ONE_PIECE or not word.strip(MARKS)
+
+
+def rows_of_words(path: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of each word in a row, and their numbers.  Words that are one
+    piece are encoded many at a time; a text that doesn't come back with one
+    piece a word is encoded word by word."""
+    ends = ends_of(path)
+    whole = [i for i, w in enumerate(words) if is_one_piece(w)]
+    single = sorted(set(range(len(words))) - set(whole))
+    groups = [whole[s:s + JOINED] for s in range(0, len(whole), JOINED)]
+    flat, lens, order = [], [], []
+    for group, ids in zip(groups, library_ids(path, [" ".join(words[i] for i in g) for g in groups]), strict=True):
+        row = np.array(ids, np.uint32)
+        last = np.flatnonzero(ends[row])
+        if len(last) != len(group) or len(row) != last[-1] + 1:
+            single += group
+            continue
+        flat.append(row)
+        lens.append(np.diff(last, prepend=-1))
+        order += group
+    for i, ids in zip(single, library_ids(path, [words[i] for i in single]), strict=True):
+        flat.append(np.array(ids, np.uint32))
+        lens.append(np.array([len(ids)]))
+        order.append(i)
+    if not words:
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    lens = np.concatenate(lens)
+    place = np.empty(len(words), np.int64)
+    place[order] = np.arange(len(words))
+    ids, _ = ragged_take(np.concatenate(flat), np.append(0, np.cumsum(lens)), place)
+    return ids, lens[place]
+
+
 class WordIds:
     """Ids of the words of many texts; ``encode`` takes a list of texts and
     returns all their ids in a row, with the offsets of the texts."""
@@ -104,6 +157,6 @@ class WordIds:
         words, before = cut_words([t.encode() for t in texts])
         coded = words.dictionary_encode()
         numbers = self.symbols.number(coded.dictionary.cast(pa.large_string()).to_pylist())
-        self.table.extend(library_ids(self.path, self.symbols.take_fresh()))
+        self.table.extend_flat(*rows_of_words(self.path, self.symbols.take_fresh()))
         ids, at = self.table.take(numbers[coded.indices.to_numpy()])
         return ids, at[before]
