@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import random
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,6 +115,114 @@ def test_simple_tree_matching():
     assert html_text.align(a, a) == tuple((i, i) for i in range(len(a.split(" "))))
 
 
+def brute_pairs(shape_a, shape_b):
+    """The size of the largest matching, by the recursion on forests."""
+    la, ca = html_text._children(shape_a)
+    lb, cb = html_text._children(shape_b)
+
+    def forests(x, y):
+        if not x or not y:
+            return 0
+        best = max(forests(x[:-1], y), forests(x, y[:-1]))
+        if la[x[-1]] == lb[y[-1]]:
+            best = max(best, forests(x[:-1], y[:-1]) + 1 + forests(ca[x[-1]], cb[y[-1]]))
+        return best
+
+    return 1 + forests(ca[0], cb[0])
+
+
+@pytest.mark.parametrize("cells", [html_text.MAX_CELLS, 4])
+def test_alignment_against_brute_force(monkeypatch, cells):
+    monkeypatch.setattr(html_text, "MAX_CELLS", cells)  # 4: tables are cut
+    html_text.align.cache_clear()
+    r = random.Random(cells)
+
+    def shape():
+        out, above = ["-1:#"], [0]
+        for k in range(1, r.randint(1, 9)):
+            while len(above) > 1 and r.random() < 0.45:
+                above.pop()
+            out.append(f"{above[-1]}:{r.choice('ab')}")
+            above.append(k)
+        return " ".join(out)
+
+    for _ in range(300):
+        a, b = shape(), shape()
+        pairs = html_text.align(a, b)
+        assert len(pairs) == brute_pairs(a, b), (a, b)
+        to = dict(pairs)
+        label_a, label_b = html_text._children(a)[0], html_text._children(b)[0]
+        above_a, above_b = ([int(x.split(":")[0]) for x in s.split(" ")] for s in (a, b))
+        assert sorted(to.values()) == [y for _, y in pairs] and len(to) == len(pairs)  # order
+        assert all(label_a[x] == label_b[y] and (not x or to[above_a[x]] == above_b[y]) for x, y in pairs)
+    html_text.align.cache_clear()
+
+
+def test_alignment_of_long_pages():
+    def page(seed):
+        r = random.Random(seed)
+        return "".join(f"<h2>head {i}</h2><p>{'words ' * 6}</p>" if r.random() < 0.9 else "<ul><li>x</ul>" for i in range(3600))
+
+    shapes = [html_text.Tree(html_text.Page("<body><div>" + page(s) + "</div></body>")).shape() for s in (1, 2)]
+    assert len(page(1)) > 190_000
+    tracemalloc.start()
+    pairs = html_text.align(*shapes)
+    assert len(pairs) > 6000 and html_text.align(shapes[0], shapes[0])[-1][0] == shapes[0].count(" ")
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+
+
+def test_articles_keep_their_constant_text(spark):
+    # headings that all articles of a site have, the first before any varying text
+    want = {i: f"Background {prose(i)} Summary {prose(i + 50)}" for i in range(6)}
+    got = site(spark, [f"<body><div>Home</div><article><h2>Background</h2><p>{prose(i)}</p><h2>Summary</h2><p>{prose(i + 50)}</p></article></body>"
+                       for i in range(6)])
+    assert got == want
+    # a paragraph that all articles share, at the start, inside and at the end
+    shared = "This paragraph stands in every article of the site."
+    for place in range(3):
+        parts = [[f"<p>{prose(i)}</p>", f"<p>{prose(i + 50)}</p>"] for i in range(4)]
+        for p in parts:
+            p.insert(place, f"<p>{shared}</p>")
+        got = site(spark, [f"<body><div>Home</div><article>{''.join(p)}</article></body>" for p in parts])
+        assert got == {i: text("".join(p)) for i, p in enumerate(parts)}
+    # near copies of one article
+    lines = "".join(f"<p>{prose(k)}.</p>" for k in range(5))
+    got = site(spark, [f"<body><article>{lines}<p>copy {i}</p></article></body>" for i in range(8)])
+    assert got == {i: f"{text(lines)} copy {i}" for i in range(8)}
+    # headings of flat pages, between varying text
+    got = site(spark, [f"<body><p>{prose(i)}</p><h2>Summary</h2><p>{prose(i + 50)}</p></body>" for i in range(6)])
+    assert got == {i: f"{prose(i)} Summary {prose(i + 50)}" for i in range(6)}
+
+
+def test_article_blocks():
+    def kept(blocks, held=True):
+        return html_text.article_blocks(blocks, held)
+
+    head, own, label = ("Summary", True, "h2"), ("own", False, "p"), ("Share this", True, "p")
+    assert kept([]) == kept([], False) == [] and kept([head, label]) == ["Summary", "Share this"]
+    assert kept([label, head, own, label]) == ["Summary", "own"]
+    assert kept([own, label, own, head]) == ["own", "Share this", "own"]
+    assert kept([head, own, ("We are here to help.", True, "p")], False) == ["own"]
+    assert kept([own, ("We are here to help.", True, "p")]) == ["own", "We are here to help."]
+    assert kept([own, ("x" * html_text.LONG_TEXT, True, "div"), ("漢字。", True, "div"), ("Ads", True, "div"), own])[1:3] == [
+        "x" * html_text.LONG_TEXT, "漢字。"]
+
+
+def test_hot_groups_are_dealt_out(spark):
+    """One layout of one host holds nine tenths of the pages."""
+    rows = [(i, "http://hot.net/", f"<body><div>Menu</div><div><p>{prose(i)}</p></div></body>") for i in range(900)]
+    rows += [(1000 + i, f"http://cold{i}.net/", f"<body><p>{prose(i)}</p></body>") for i in range(100)]
+    out = html_text.extract(frame(spark, rows))
+    assert {x.page_id: x.text for x in out.collect()} == {i: prose(i % 1000) for i, *_ in rows}
+    groups = spark.createDataFrame([("hot", 1)] * 900 + [(f"cold{i}", 1) for i in range(100)], "host string, layout long")
+    hot = html_text.Dealt(groups)
+    found = {(r.host, r.deal): r.n for r in hot.rows(groups, F.monotonically_increasing_id()).groupBy("host", "deal").agg(F.count("*").alias("n")).collect()}
+    most = [n for (h, _), n in found.items() if h == "hot"]
+    assert len(most) == hot.parts and max(most) <= 2 * 900 / hot.parts
+    assert {(r.host, r.deal) for r in hot.copies(groups.distinct()).collect()} >= set(found)
+
+
 def test_wrapper_drops_the_template(spark):
     """Pages without telling names: what is constant goes."""
     r = random.Random(2)

@@ -15,15 +15,15 @@
 4. A page is aligned with the references of its layout, or of its host if fewer
    than MIN_PAGES other pages have its layout.  Its text is what stands in the node
    that aligns with the slot of the best aligned one, without template blocks
-   and without elements that say what they are: menus, headers, footers,
+   at its ends that are no sentences (``article_blocks``), and without elements that say what they are: menus, headers, footers,
    sidebars, notices, adverts, forms, scripts, styles, reader comments.  Tags
    and roles say so, and whole class names or ids; names never drop what the
    slot or an article stands in.
 
 ``article``, ``main`` or ``body`` stand in for the slot, in this order, where
 fewer than MIN_PAGES pages were compared, nothing below the body holds most of
-the varying text, or a page has no node at the slot; template blocks go there
-too.  A slot of template blocks alone keeps them: its pages are copies there.
+the varying text, or a page has no node at the slot; the same blocks go there.
+A slot of template blocks alone keeps them: its pages are copies there.
 
 Character references are decoded, white space inside a block becomes one space,
 blocks are joined in page order by one space; nothing else is dropped.
@@ -47,6 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillroll.operators.lookup import frequent_keys
 from tillroll.session import materialize
 from tillroll.sources.tables import read_table
 
@@ -55,6 +56,10 @@ DEPTH = 40
 #: Aligned pages of a host from which on a constant node is template, and the
 #: share of them on which it is the same.
 MIN_PAGES, CONSTANT = 3, 0.9
+#: Characters from which on a block is no menu entry or label.
+LONG_TEXT = 80
+#: Cells of an alignment table that is kept whole: 8 MB.
+MAX_CELLS = 1 << 20
 #: Share of the varying characters that the content slot holds.
 SLOT_SHARE = 0.6
 
@@ -80,9 +85,13 @@ DROPPED_NAMES = set("ad ads advert adverts advertisement advertising banner brea
                     "cookie-banner cookie-bar cookie-consent cookie-notice main-menu main-nav nav-bar newsletter-signup "
                     "related-articles related-posts share-buttons side-bar site-footer site-nav social-links "
                     "social-share".split())
+#: Elements of running text and the headings among them.
+PROSE = set("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre td th".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = set("html body div section article main table tbody tr td center form".split())
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
+SENTENCE_END = re.compile(r"""(?: .* .* .*[.!?…]|[。！？])["'”’»)\]]*\Z""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
@@ -124,6 +133,12 @@ class Page:
             node = self.parents[node]
         return False
 
+    def block_tag(self, node: int) -> str:
+        """The tag of the block that a node stands in."""
+        while self.tags[node] in INLINE:
+            node = self.parents[node]
+        return self.tags[node]
+
     def dropped(self, slot: set[int]) -> list[bool]:
         """Whether each node is dropped, itself or by an ancestor.  Nothing
         drops the slot's nodes or what they stand in; names drop nothing that an
@@ -293,40 +308,101 @@ def _children(shape: str) -> tuple[list[str], list[list[int]]]:
     return labels, children
 
 
+def _row(above: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    """The next row of an alignment table: ``gain`` is what pairing with each
+    column's node brings."""
+    here = np.zeros_like(above)
+    np.maximum.accumulate(np.maximum(above[1:], above[:-1] + gain), out=here[1:])
+    return here
+
+
+def pair_sequences(x: np.ndarray, y: np.ndarray, gain: np.ndarray) -> list[tuple[int, int]]:
+    """The pairs of positions of two sequences of codes, in the order of both,
+    with the largest sum of ``gain[code, code]``.  Tables of more than
+    MAX_CELLS cells are cut: only their middle and outer rows are computed."""
+    out, todo = [], [(0, len(x), 0, len(y))]
+    while todo:
+        i0, i1, j0, j1 = todo.pop()
+        if i0 == i1 or j0 == j1:
+            continue
+        if i1 - i0 > 1 and (i1 - i0) * (j1 - j0) > MAX_CELLS:
+            middle = (i0 + i1) // 2
+            head, tail = np.zeros(j1 - j0 + 1, np.int32), np.zeros(j1 - j0 + 1, np.int32)
+            for i in range(i0, middle):
+                head = _row(head, gain[x[i]].take(y[j0:j1]))
+            for i in range(i1 - 1, middle - 1, -1):
+                tail = _row(tail, gain[x[i]].take(y[j0:j1][::-1]))
+            cut = j0 + int(np.argmax(head + tail[::-1]))
+            todo += [(i0, middle, j0, cut), (middle, i1, cut, j1)]
+            continue
+        m = np.zeros((i1 - i0 + 1, j1 - j0 + 1), np.int32)
+        for i in range(i1 - i0):
+            m[i + 1] = _row(m[i], gain[x[i0 + i]].take(y[j0:j1]))
+        i, j = i1 - i0, j1 - j0
+        while i and j:
+            if m[i, j] == m[i - 1, j]:
+                i -= 1
+            elif m[i, j] == m[i, j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append((i0 + i, j0 + j))
+    return sorted(out)
+
+
 @lru_cache(maxsize=4096)
 def align(shape_a: str, shape_b: str) -> tuple[tuple[int, int], ...]:
     """Simple tree matching: the largest set of node pairs with equal labels
-    that keeps order and ancestry.  Children that stand at the like places of
-    equal sequences are paired without a search."""
-    la, ca = _children(shape_a)
-    lb, cb = _children(shape_b)
+    that keeps order and ancestry.  Equal subtrees have one number, so they are
+    compared once, and those at the heads and tails of two sequences of children
+    are paired without a search; what is left between takes memory in
+    proportion to the longer sequence."""
+    numbers: dict[tuple, int] = {}
+    label: list[str] = []
+    below: list[tuple[int, ...]] = []  # the numbers of the children
+    nodes: list[int] = []
+
+    def number(shape: str) -> tuple[list[int], list[list[int]]]:
+        labels, children = _children(shape)
+        own = [0] * len(labels)
+        for n in range(len(labels) - 1, -1, -1):
+            key = labels[n], tuple(own[c] for c in children[n])
+            own[n] = numbers.setdefault(key, len(label))
+            if own[n] == len(label):
+                label.append(key[0])
+                below.append(key[1])
+                nodes.append(1 + sum(nodes[c] for c in key[1]))
+        return own, children
+
+    own_a, children_a = number(shape_a)
+    own_b, children_b = number(shape_b)
 
     @lru_cache(maxsize=None)
-    def size(a: int, b: int) -> int:
-        return 1 + table(a, b)[-1][-1] if la[a] == lb[b] else 0
+    def size(s: int, t: int) -> int:
+        if s == t:
+            return nodes[s]
+        return 1 + sum(size(below[s][i], below[t][j]) for i, j in pairs(s, t)) if label[s] == label[t] else 0
 
     @lru_cache(maxsize=None)
-    def table(a: int, b: int) -> list[list[int]]:
-        m = [[0] * (len(cb[b]) + 1) for _ in range(len(ca[a]) + 1)]
-        for i, x in enumerate(ca[a], 1):
-            for j, y in enumerate(cb[b], 1):
-                m[i][j] = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1] + size(x, y))
-        return m
+    def pairs(s: int, t: int) -> list[tuple[int, int]]:
+        x, y = below[s], below[t]
+        least = min(len(x), len(y))
+        head = next((k for k in range(least) if x[k] != y[k]), least)
+        tail = next((k for k in range(least - head) if x[-1 - k] != y[-1 - k]), least - head)
+        out = [(k, k) for k in range(head)]
+        i, j = len(x) - tail, len(y) - tail
+        if head < i and head < j:
+            codes_x, at_x = np.unique(x[head:i], return_inverse=True)
+            codes_y, at_y = np.unique(y[head:j], return_inverse=True)
+            gain = np.array([[size(p, q) for q in codes_y.tolist()] for p in codes_x.tolist()], np.int32)
+            out += [(head + p, head + q) for p, q in pair_sequences(at_x, at_y, gain) if gain[at_x[p], at_y[q]]]
+        return out + [(i + k, j + k) for k in range(tail)]
 
     out, todo = [], [(0, 0)]
     while todo:
         a, b = todo.pop()
         out.append((a, b))
-        m, i, j = table(a, b), len(ca[a]), len(cb[b])
-        while i and j:
-            s = size(ca[a][i - 1], cb[b][j - 1])
-            if s and m[i][j] == m[i - 1][j - 1] + s:
-                todo.append((ca[a][i - 1], cb[b][j - 1]))
-                i, j = i - 1, j - 1
-            elif m[i][j] == m[i - 1][j]:
-                i -= 1
-            else:
-                j -= 1
+        todo += [(children_a[a][i], children_b[b][j]) for i, j in pairs(own_a[a], own_b[b])]
     return tuple(sorted(out))
 
 
@@ -385,6 +461,23 @@ def slot_nodes(page: Page, tree: Tree, wrappers: list[dict], pages: int) -> list
     return []
 
 
+def article_blocks(blocks: list[tuple[str, bool, str]], held: bool) -> list[str]:
+    """The texts of ``blocks`` (text, whether it is constant, tag) that are the
+    article's: those that vary and, of the constant ones, running text and
+    headings between them; where a slot or an article holds the blocks also
+    headings just before the first that varies, and sentences anywhere.  Constant
+    blocks alone all stay: the page is a copy there."""
+    varying = [k for k, (_, constant, _) in enumerate(blocks) if not constant]
+    if not varying:
+        return [text for text, *_ in blocks] if held else []
+    first = varying[0]
+    while held and first and blocks[first - 1][2] in HEADINGS:
+        first -= 1
+    return [text for k, (text, constant, tag) in enumerate(blocks)
+            if not constant or (first <= k < varying[-1] and tag in PROSE)
+            or (held and (len(text) >= LONG_TEXT or SENTENCE_END.search(text)))]
+
+
 def main_text(html: str, wrappers: list[dict] | None = None, template: set[int] = frozenset()) -> str:
     """The text of one page, given its layout's wrappers."""
     page = Page(html)
@@ -407,10 +500,9 @@ def main_text(html: str, wrappers: list[dict] | None = None, template: set[int]
         text = squash(own) if own else ""
         if text:
             whole = text if len(own) == len(run) else squash(run)
-            found.append((text, bool(template) and template_key(paths[tree.name[run[0][0]]], text_hash(whole)) in template))
-    # a slot of constant text only: the host's pages are copies there
-    copies = chosen and all(constant for _, constant in found)
-    return " ".join(text for text, constant in found if copies or not constant)
+            tag = page.block_tag(run[0][0])
+            found.append((text, bool(template) and template_key(paths[tree.name[run[0][0]]], text_hash(whole)) in template, tag))
+    return " ".join(article_blocks(found, bool(chosen)))
 
 
 TREE = "shape string, owners array<int>, hashes array<long>, lengths array<long>"
@@ -439,9 +531,56 @@ def trees(pages: DataFrame) -> DataFrame:
     return pages.mapInArrow(run, f"host string, h long, layout long, {TREE}")
 
 
-def induce(pages: DataFrame) -> DataFrame:
+class Dealt:
+    """Joins on (host, layout) where a few groups may hold most rows: the rows
+    of frequent groups are dealt out over as many numbers as there are shuffle
+    partitions, and the other side has a copy for each.  At most MAX_HOT
+    hashes of groups reach the driver."""
+
+    def __init__(self, groups: DataFrame) -> None:
+        self.parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        group = F.xxhash64("host", "layout")
+        self.hot = group.isin([int(x) for x in frequent_keys(groups, {"group": group})["group"]])
+
+    def rows(self, df: DataFrame, number: F.Column) -> DataFrame:
+        return df.withColumn("deal", F.when(self.hot, F.pmod(number, F.lit(self.parts)).cast("int")).otherwise(0))
+
+    def copies(self, df: DataFrame) -> DataFrame:
+        every = F.sequence(F.lit(0), F.lit(self.parts - 1))
+        return df.withColumn("deal", F.explode(F.when(self.hot, every).otherwise(F.array(F.lit(0)))))
+
+
+class Votes:
+    """What pages say about the places of a reference, its nodes and behind
+    them its blocks: on how many pages a node is aligned or a block is the same,
+    and the characters at a node that are none of its blocks."""
+
+    def __init__(self, row: dict) -> None:
+        self.ref, self.h, reference = row["ref"], row["ref_h"], row["reference"]
+        self.shape, self.nodes = reference["shape"], reference["shape"].count(" ") + 1
+        self.known: dict[int, dict[int, list[int]]] = {}
+        for k, (n, x) in enumerate(zip(reference["owners"], reference["hashes"], strict=True), self.nodes):
+            self.known.setdefault(n, {}).setdefault(x, []).append(k)
+        self.n, self.varies = ([0] * (self.nodes + len(reference["hashes"])) for _ in range(2))
+
+    def add(self, shape: str, at: dict[int, dict[int, int]]) -> None:
+        """Count a page: its shape, and by node its blocks and their lengths."""
+        n, varies = self.n, self.varies
+        for a, b in align(self.shape, shape):
+            n[a] += 1
+            if b in at:
+                here = self.known.get(a, {})
+                for x, size in at[b].items():
+                    if x in here:
+                        for k in here[x]:
+                            n[k] += 1
+                    else:
+                        varies[a] += size
+
+
+def induce(pages: DataFrame) -> tuple[DataFrame, Dealt]:
     """(host, layout, wrappers, template) of each layout on a host that has
-    other pages to compare."""
+    other pages to compare, and how to join it with pages."""
     found = materialize(trees(pages), "trees")
     tree = F.struct("shape", "owners", "hashes", "lengths")
     slot = F.pmod(F.col("h"), F.lit(REFERENCES)).cast("int")
@@ -452,33 +591,29 @@ def induce(pages: DataFrame) -> DataFrame:
     # the references of all groups of a host are at most three times its layouts
     refs = (found.drop("layout").join(least, ["host", "h"]).dropDuplicates(["host", "layout", "ref"])
             .select("host", "layout", "ref", F.col("h").alias("ref_h"), tree.alias("reference")))
-    pairs = (members.join(refs, ["host", "layout"]).filter(F.col("h") != F.col("ref_h"))
-             .select("host", "layout", "ref", tree.alias("tree"), "reference"))
+    references = refs.groupBy("host", "layout").agg(F.collect_list(F.struct("ref", "ref_h", "reference")).alias("references"))
+    hot = Dealt(found.select("host", F.explode(F.array(F.lit(0).cast("long"), "layout")).alias("layout")))
+    pairs = (hot.rows(members, F.xxhash64("h")).join(hot.copies(references), ["host", "layout", "deal"])
+             .select("host", "layout", "h", tree.alias("tree"), "references"))
     # a place is a node of the reference, or from its number of nodes on a block
     votes = pa.schema([("host", pa.string()), ("layout", pa.int64()), ("ref", pa.int32()), ("place", pa.int32()), ("n", pa.int64()), ("varies", pa.int64())])
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums: dict[tuple, tuple] = {}
-            for key, tree, reference in zip(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True),
-                                            batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                if key not in sums:
-                    known: dict[int, dict[int, list[int]]] = {}
-                    for k, (n, h) in enumerate(zip(reference["owners"], reference["hashes"], strict=True)):
-                        known.setdefault(n, {}).setdefault(h, []).append(k)
-                    nodes = reference["shape"].count(" ") + 1
-                    sums[key] = nodes, known, np.zeros((nodes + len(reference["hashes"]), 2), np.int64)
-                nodes, known, own = sums[key]
+            sums: dict[tuple, list] = {}
+            for i, (*group, h) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)):
+                if tuple(group) not in sums:  # a group's references are read once a batch
+                    sums[tuple(group)] = [Votes(x) for x in batch.column(4)[i].as_py()]
+                tree = batch.column(3)[i].as_py()
                 at: dict[int, dict[int, int]] = {}
-                for n, h, size in zip(tree["owners"], tree["hashes"], tree["lengths"], strict=True):
+                for n, x, size in zip(tree["owners"], tree["hashes"], tree["lengths"], strict=True):
                     blocks = at.setdefault(n, {})
-                    blocks[h] = blocks.get(h, 0) + size
-                for a, b in align(reference["shape"], tree["shape"]):
-                    here, there = known.get(a, {}), at.get(b, {})
-                    own[a] += (1, sum(size for h, size in there.items() if h not in here))
-                    for h in here.keys() & there.keys():
-                        own[[nodes + k for k in here[h]], 0] += 1
-            rows = [(*key, place, *map(int, x)) for key, (_, _, own) in sums.items() for place, x in enumerate(own) if x.any()]
+                    blocks[x] = blocks.get(x, 0) + size
+                for own in sums[tuple(group)]:
+                    if own.h != h:
+                        own.add(tree["shape"], at)
+            rows = [(*group, own.ref, place, *x) for group, each in sums.items() for own in each
+                    for place, x in enumerate(zip(own.n, own.varies, strict=True)) if any(x)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(votes)], schema=votes)
 
@@ -510,35 +645,45 @@ def induce(pages: DataFrame) -> DataFrame:
         F.collect_list("wrapper").alias("wrappers"), F.flatten(F.collect_list("template")).alias("template")), "wrappers")
     whole = groups.filter("layout = 0").select("host", F.col("wrappers").alias("all"), F.col("template").alias("everywhere"))
     own = F.exists("wrappers", lambda w: w["aligned"] >= MIN_PAGES)
-    return (found.select("host", "layout").distinct().join(whole, "host").join(groups, ["host", "layout"], "left")
+    built = (found.select("host", "layout").distinct().join(whole, "host").join(groups, ["host", "layout"], "left")
             .select("host", "layout", F.when(own, F.col("wrappers")).otherwise(F.col("all")).alias("wrappers"),
                     F.array_distinct(F.concat("everywhere", F.coalesce("template", F.array().cast("array<long>")))).alias("template")))
+    return built, hot
 
 
 def with_layout(pages: DataFrame) -> DataFrame:
-    """``pages(page_id, url, html, host)`` with each page's layout."""
+    """``pages(page_id, url, html, host)`` with each page's layout and its
+    number in its task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
         for batch in batches:
             found = [Tree(Page(x.as_py() or "")).layout() for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(found, pa.int64())],
-                                             names=["page_id", "url", "html", "host", "layout"])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i) for i in range(4)), pa.array(found, pa.int64()), pa.array(range(n, n + len(found)), pa.int64())],
+                names=["page_id", "url", "html", "host", "layout", "number"])
+            n += len(found)
 
-    return pages.mapInArrow(run, "page_id long, url string, html string, host string, layout long")
+    return pages.mapInArrow(run, "page_id long, url string, html string, host string, layout long, number long")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars), a row per row of ``pages``."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         F.col("html").cast("string").alias("html")).withColumn("host", _host(F.col("url")))
-    wrappers = induce(rows.select("host", "page_id", "html"))
+    wrappers, hot = induce(rows.select("host", "page_id", "html"))
     # Spark broadcasts the wrappers if their measured size allows it
-    joined = with_layout(rows).join(wrappers, ["host", "layout"], "left").select("page_id", "url", "html", "wrappers", "template")
+    joined = (hot.rows(with_layout(rows), F.col("number")).join(hot.copies(wrappers), ["host", "layout", "deal"], "left")
+              .select("page_id", "url", "html", "host", "layout", "wrappers", "template"))
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [main_text(h.as_py() or "", w.as_py(), set(t.as_py() or ()))
-                     for h, w, t in zip(batch.column(2), batch.column(3), batch.column(4), strict=True)]
+            known: dict[tuple, tuple] = {}  # a group's wrappers are read once a batch
+            found = []
+            for i, group in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+                if group not in known:
+                    known[group] = batch.column(5)[i].as_py(), set(batch.column(6)[i].as_py() or ())
+                found.append(main_text(batch.column(2)[i].as_py() or "", *known[group]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string())], schema=schema)
 
     return joined.mapInArrow(run, "page_id long, url string, text string").withColumn(
