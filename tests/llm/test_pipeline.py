@@ -23,7 +23,7 @@ def folder(spark, tmp_path_factory):
     more = [(1000 + i, t) for i, t in first.items()] + [(2000, None), (None, first[1]), (None, first[2] + " tail"), (1, first[1])]
     whole = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string")).select(
         "doc_id", "text", F.lit("en").alias("lang"), F.lit("src").alias("source"), F.length("text").cast("long").alias("n_chars"),
-        F.lit("clash").alias("fp"), F.lit(1).alias("mark"))
+        F.lit("clash").alias("fp"), F.lit(1).alias("mark"), F.lit(2).alias("a.b"), F.lit("c").alias("x`y z"))
     whole.repartition(3).write.parquet(f"{base}/documents.parquet")
     labels.write.parquet(f"{base}/labels.parquet")
     return base, truth, {**first}

@@ -259,3 +259,15 @@ def test_match_guarantee(spark):
     rows = spark.createDataFrame([(1, "ab cd ef " * 9 + run + "XYZ" * 20), (2, "0123456789" * 7 + run + "qrst" * 11)], "doc_id long, text string")
     a, b = (set(r.hashes) for r in winnowing.winnow(rows).collect())
     assert a & b
+
+
+def test_labelled_samples_are_bounded(spark):
+    """A row for each label, whatever ids repeat and however long texts are."""
+    long = "w " * quality.SAMPLE_CHARS
+    rows = [(1, "b"), (1, "a"), (1, long)] + [(2, f"copy {i % 7}") for i in range(3000)] + [(3, None), (4, long), (None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, 1) for i in (1, 2, 3, 4, 2)] + [(None, 0), (5, None)], "doc_id long, toxic int")
+    got = quality.labelled(docs, labels, "toxic", 100)
+    assert sorted(map(tuple, got.collect())) == [(1, "a", 1.0), (2, "copy 0", 1.0), (3, "", 1.0)]
+    assert quality.labelled(docs, labels, "toxic", 2).count() <= 2
+    assert quality.labelled(docs.limit(0), labels, "toxic", 100).count() == 0

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import documents, texts
+from tillroll.llm.common import documents, map_rows, texts
 from tillroll.llm.linear import Sparse, fit_logistic, fit_platt, sigmoid
 from tillroll.sources.tables import read_table
 
@@ -36,6 +36,9 @@ SYMBOLS = re.compile(rb"[#*$%&|<>]")
 THRESHOLD = 0.3
 #: At most so many labelled rows are fitted, those with the smallest hash.
 SAMPLE_ROWS = 4000
+#: Characters of a labelled text that is learned from: with the rows, the bound
+#: of what the driver gathers.
+SAMPLE_CHARS = 65_536
 
 WORD_DIM, CHAR_DIM = 1 << 14, 1 << 15
 DIM = WORD_DIM + CHAR_DIM
@@ -147,13 +150,17 @@ def _words(text: str) -> list[bytes]:
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int, keep=None) -> DataFrame:
     """(doc_id, text, y): the documents of the ``rows`` labels with the
-    smallest hashes; the frame of labels is bounded, so it is broadcast."""
+    smallest hashes; the frame of labels is bounded, so it is broadcast.  A row
+    for each label: of repeated ids the smallest text of at most SAMPLE_CHARS
+    characters; labels of longer texts alone are not learned from."""
     good = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     if keep is not None:
         good = good.filter(keep)
     few = (good.groupBy("doc_id").agg(F.min(label).cast("double").alias("y"))
            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "text", "y")
+    return (docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+            .filter(F.char_length("text") <= SAMPLE_CHARS).join(F.broadcast(few), "doc_id")
+            .groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y"))
 
 
 def sparse_rows(sample: DataFrame, rows) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
@@ -236,7 +243,7 @@ def keep_good(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD
             yield batch.filter(pa.array([good(t, m, hashes) for t in texts(batch, at)], pa.bool_()))
 
     at = docs.columns.index("text")
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import documents, texts
+from tillroll.llm.common import documents, quoted, texts
 from tillroll.session import materialize
 
 SHINGLE, RADIUS, BLOCKS, SEED = 3, 2, 6, 42
@@ -286,12 +286,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row of each component, with all columns: the smallest doc_id (null
     last), of equal ids the smallest hash of the row, of equal rows one."""
-    mark = F.xxhash64(*docs.columns)
+    columns = [quoted(c) for c in docs.columns]
+    mark = F.xxhash64(*columns)
     found = near_duplicates(docs, shingle, radius, mark)
     best = found.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("b")
     ).select(F.col("b.doc_id").alias("_id"), F.col("b.mark").alias("_mark"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), mark.alias("mark"))
+    rows = docs.select(F.struct(*columns).alias("row"), F.col("doc_id").cast("long").alias("id"), mark.alias("mark"))
     return (rows.join(best, F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left_semi")
             .dropDuplicates(["id", "mark"]).select("row.*"))
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import RaggedTable, Symbols, documents, texts
+from tillroll.llm.common import RaggedTable, Symbols, documents, map_rows, texts
 from tillroll.llm.linear import Sparse, fit_platt, fit_smooth, sigmoid
 from tillroll.llm.quality import labelled
 from tillroll.sources.tables import read_table
@@ -355,7 +355,7 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHO
             yield batch.filter(pa.array(scorer.scores(texts(batch, at)) < threshold, pa.bool_()))
 
     at = docs.columns.index("text")
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
 
 
 def op3_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
