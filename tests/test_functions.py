@@ -3,6 +3,7 @@
 import base64
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from tillroll.functions import dates as D
@@ -140,3 +141,64 @@ def test_unpadded_times_and_typed_dates(spark):
     got = day.select(*[D.parse_date(c).cast("string").alias(c) for c in "abcde"]).first()
     assert list(got) == ["2024-03-05"] * 4 + [None]
     assert F is not None
+
+
+def test_whole_word_colours(spark):
+    rows = [("powered red-hub", None, "Red"), ("powered organizer", "ink/jet", "Ink"), ("blue fogs", "", "Blue"),
+            ("winter blue", "blue jay", "Winter Blue"), ("skyline", "reddish", None), ("blk", "wht", "Black"),
+            ("đred", "red2", None), (None, None, None), ("", "red", "Red")]
+    df = spark.createDataFrame([r[:2] for r in rows], "n string, d string")
+    got = df.select(X.extract_color("n", "d", whole_word=True).alias("w"), X.extract_color("n", "d").alias("s")).collect()
+    assert [r["w"] for r in got] == [r[2] for r in rows]
+    texts = [" ".join(f"{r[0] or ''} {r[1] or ''}".replace("/", " ").replace("-", " ").split(" ")) for r in rows]
+    want = [next((k for k in X.sorted_color_keywords() if k in t), None) for t in texts]
+    assert [r["s"] for r in got] == [None if k is None else X.COLOR_NAMES.get(k, k.title()) for k in want]
+
+
+def test_keyword_pattern():
+    import re
+    pattern = re.compile(f"(?=({X.keyword_pattern(X.COLOR_KEYWORDS)}))")
+    assert [m[1] for m in pattern.finditer("pinkish blue fog")] == ["pink", "ink", "blue fog"]
+    assert all(pattern.match(k)[1] == k for k in X.COLOR_KEYWORDS)
+
+
+def test_phone_numbers_that_do_not_fit(spark):
+    df = spark.createDataFrame([("0912345678",), ("9" * 13,), ("no number",), (None,)], "p string")
+    assert [r[0] for r in df.select(N.fits_phone_code("p", 5)).collect()] == [True, False, False, None]
+    assert [r[0] is None for r in df.select(N.phone_code("p", 5)).collect()] == [False, True, True, True]
+    with pytest.raises(Exception, match="does not fit"):
+        df.select(N.phone_code("p", 5, strict=True)).collect()
+    good = df.filter("p is null or p like '09%'")
+    assert [r[0] is None for r in good.select(N.phone_code("p", 5, strict=True)).collect()] == [False, True]
+
+
+def test_keyed_ids_with_collisions(spark):
+    import hashlib
+
+    from tillroll.operators.customers import keyed_customers
+    phones = [f"09{i:08d}" for i in range(200)]
+    df = spark.createDataFrame([(p,) for p in phones * 2] + [(None,)], "phone string")
+    got = {r["phone"]: r["id"] for r in keyed_customers(df.repartition(5), 7, n_chars=1).collect()}
+    assert sorted(got) == phones and len(set(got.values())) == 200
+    groups = {}
+    for p in phones:
+        digest = hashlib.sha256(f"{p}7".encode()).digest()
+        groups.setdefault("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"[digest[0] >> 3], []).append((digest.hex(), p))
+    want = {p: f"CUS-{code}-" + (f"-{n}" if n > 1 else "") for code, g in groups.items() for n, (_, p) in enumerate(sorted(g), 1)}
+    assert got == want
+    assert {r["phone"]: r["id"] for r in keyed_customers(df.repartition(2), 7, n_chars=1).collect()} == got
+    assert keyed_customers(df.limit(0), 7).count() == 0
+
+
+def test_date_layout_votes(spark):
+    from tillroll.functions import dates as D
+    rows = [("3/4/2020", "3/4/2020", "1/2/2020", None), ("4-25-2020", "25-4-2020", "x", None), ("2020-01-02", "13/13/2020", "", None),
+            ("25/4/2020", "4/25/2020", "2020-13-01", None), (" 12/31/2020 ", "31/12/2020", "99-99-2020", None)]
+    df = spark.createDataFrame(rows, "us string, eu string, few string, none string")
+    votes = D.layout_votes(df, df.columns)
+    assert votes == {"us": True, "eu": False, "few": False, "none": False}
+    got = [list(map(str, r)) for r in df.select(*[D.parse_date_voted(c, v) for c, v in votes.items()]).collect()]
+    assert [r[0] for r in got] == ["2020-03-04", "2020-04-25", "2020-01-02", "2020-04-25", "2020-12-31"]
+    assert [r[1] for r in got] == ["2020-04-03", "2020-04-25", "None", "2020-04-25", "2020-12-31"]
+    assert [r[2] for r in got] == ["2020-02-01"] + ["None"] * 4 and {r[3] for r in got} == {"None"}
+    assert D.layout_votes(df.limit(0), ["us"]) == {"us": False}

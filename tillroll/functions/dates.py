@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.numeric import SENTINELS_DATE
@@ -73,6 +73,32 @@ def parse_date_lenient(c: str | Column,
     return F.when(text.rlike(any_shape), F.coalesce(*tries))
 
 
+def _parts(c: str | Column) -> Column:
+    return F.translate(F.trim(_col(c).cast("string")), "/", "-")
+
+
+def layout_votes(df: DataFrame, columns: Sequence[str]) -> dict[str, bool]:
+    """Whether the dates of each column have the month first, in one pass.
+    Only values that can be read in one way vote, those with a first or second
+    number above 12; without a majority for the month the day comes first."""
+    def votes(c: str, part: int) -> Column:
+        s = _parts(F.col(c))
+        one, other = (F.split_part(s, F.lit("-"), F.lit(k)).try_cast("int") for k in (part, 3 - part))
+        return F.count_if(F.when(s.rlike(DMY[1]), one.between(13, 31) & other.between(1, 12)))
+
+    # a fixed number of counts reaches the driver
+    row = df.agg(*[votes(c, part).alias(f"{i}_{part}") for i, c in enumerate(columns) for part in (1, 2)]).first()
+    return {c: row[f"{i}_2"] > row[f"{i}_1"] for i, c in enumerate(columns)}
+
+
+def parse_date_voted(c: str | Column, month_first: bool) -> Column:
+    """A date of its column's layout; year-month-day, and what only the other
+    layout can read, are read as they stand."""
+    s = _parts(c)
+    both = [F.when(s.rlike(DMY[1]), F.try_to_date(s, p)) for p in ("M-d-yyyy", DMY[0])]
+    return F.coalesce(F.when(s.rlike(YMD[1]), F.try_to_date(s, YMD[0])), *(both if month_first else both[::-1]))
+
+
 def parse_time(c: str | Column) -> Column:
     """``h:mm am/pm`` else ``H:mm:ss`` else ``H:mm``, unpadded parts
     accepted; a time of day on the base day 1900-01-01 (TimestampNTZ)."""

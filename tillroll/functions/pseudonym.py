@@ -37,9 +37,21 @@ def base32_of_int(v: str | Column, nbytes: int) -> Column:
     return F.when(fits, F.translate(digits, CONV32_DIGITS, BASE32_ALPHABET))
 
 
-def phone_code(phone: str | Column, salt: int, nbytes: int = 5) -> Column:
-    """8-character code of (phone number + salt)."""
-    return base32_of_int(_col(phone).try_cast("long") + F.lit(salt), nbytes)
+def fits_phone_code(phone: str | Column, salt: int, nbytes: int = 5) -> Column:
+    """Whether ``phone_code`` has a code for a number; null for a null."""
+    v = _col(phone).try_cast("long") + F.lit(salt)
+    return F.when(_col(phone).isNotNull(), F.coalesce((v >= 0) & (v < F.lit(1 << (8 * nbytes))), F.lit(False)))
+
+
+def phone_code(phone: str | Column, salt: int, nbytes: int = 5, strict: bool = False) -> Column:
+    """8-character code of (phone number + salt).  A text that is no number,
+    or one that doesn't fit, has no code (``fits_phone_code`` tells which, to be
+    counted); with ``strict`` it stops the query."""
+    code = base32_of_int(_col(phone).try_cast("long") + F.lit(salt), nbytes)
+    if not strict:
+        return code
+    return F.when(F.coalesce(fits_phone_code(phone, salt, nbytes), F.lit(True)), code).otherwise(
+        F.raise_error(F.lit("phone_code: a number does not fit its code")).cast("string"))
 
 
 def customer_id(code: str | Column) -> Column:
@@ -76,6 +88,13 @@ def serial_hash(serial: str | Column, key: str | int, n_chars: int = 10,
     return F.when(s.isNull() | (s == UNKNOWN), F.lit(UNKNOWN)).otherwise(code)
 
 
+def keyed_code(value: str | Column, key: str | int, n_chars: int = 8) -> Column:
+    """The first ``n_chars`` base32 characters of SHA-256(value || key); null
+    for a null.  Unlike ``phone_code`` it can't be decoded; values may share it."""
+    v = _col(value).cast("string")
+    return F.when(v.isNotNull(), serial_hash(v, key, n_chars, step=1))
+
+
 def keyed_gaussian(key: str | Column, seed: int, salt: str = "") -> Column:
     """Standard normal draw that depends only on (seed, key), not on
     partitioning or row order: two uniforms from md5, Box-Muller, rounded to

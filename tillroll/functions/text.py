@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -97,23 +98,45 @@ def normalize_key(c: str | Column) -> Column:
     return F.trim(F.regexp_replace(_col(c).cast("string"), r"\.0$", ""))
 
 
+def keyword_pattern(keywords: Sequence[str]) -> str:
+    """A pattern for the longest keyword at a place: the keywords as a tree of
+    shared beginnings, longer ones tried first."""
+    tree: dict = {}
+    for keyword in keywords:
+        node = tree
+        for letter in keyword:
+            node = node.setdefault(letter, {})
+        node[""] = {}
+
+    def of(node: dict) -> str:
+        longer = [re.escape(letter) + of(below) for letter, below in node.items() if letter]
+        if not longer:
+            return ""
+        return f"(?:{'|'.join(longer)})" + ("?" if "" in node else "")
+
+    return of(tree)
+
+
 def extract_color(name: str | Column, description: str | Column,
-                  keywords: Sequence[str] = tuple(COLOR_KEYWORDS)) -> Column:
+                  keywords: Sequence[str] = tuple(COLOR_KEYWORDS), whole_word: bool = False) -> Column:
     """First keyword (longest first) contained in name + description,
-    '/' and '-' read as spaces; abbreviations mapped, others title-cased."""
+    '/' and '-' read as spaces; abbreviations mapped, others title-cased.  With
+    ``whole_word`` a keyword counts only between characters that are neither
+    letters nor digits ('red' is not in 'powered').
+
+    One look-ahead pattern gives the longest keyword at each place of the text;
+    the longest of those wins, of equal lengths the first in the list."""
     text = F.regexp_replace(
         F.lower(F.concat_ws(" ", F.coalesce(_col(name).cast("string"), F.lit("")),
                             F.coalesce(_col(description).cast("string"), F.lit("")))),
         "[/-]", " ")
-    # A CASE chain (longest keyword first) rather than a higher-order filter:
-    # the text is computed once per row and the whole test stays in generated
-    # code (a lambda would re-evaluate the text for every keyword).
-    hit = None
-    for k in sorted_color_keywords(keywords):
-        cond = F.instr(text, k) > 0
-        hit = F.when(cond, F.lit(k)) if hit is None else hit.when(cond, F.lit(k))
-    names = F.create_map(*[x for k, v in COLOR_NAMES.items() for x in (F.lit(k), F.lit(v))])
-    return F.coalesce(F.try_element_at(names, hit), F.initcap(hit))
+    ordered = sorted_color_keywords(keywords)
+    found = keyword_pattern(ordered)
+    found = rf"(?<![\p{{L}}\p{{N}}])(?=({found})(?![\p{{L}}\p{{N}}]))" if whole_word else f"(?=({found}))"
+    rank = F.create_map(*[F.lit(x) for k, keyword in enumerate(ordered, 1) for x in (keyword, k)])
+    best = F.array_min(F.transform(F.regexp_extract_all(text, F.lit(found), 1), lambda k: F.try_element_at(rank, k)))
+    shown = F.array(*[F.lit(COLOR_NAMES[k]) if k in COLOR_NAMES else F.initcap(F.lit(k)) for k in ordered])
+    return F.try_element_at(shown, best)
 
 
 def extract_size(name: str | Column, category: str | Column) -> Column:

@@ -84,7 +84,23 @@ def q_phone_code(spark: SparkSession, sf_dir: str) -> DataFrame:
                     N.customer_id(code).alias("id"))
 
 
+def q_date_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1b with a vote per column: one writes the month first, one the day,
+    both mixed with years first."""
+    day, k = F.col("o_orderdate"), F.col("o_orderkey")
+    rows = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_orderdate"]).select(
+        k.alias("invoice"),
+        F.when(k % 3 == 0, F.date_format(day, "M/d/yyyy")).when(k % 3 == 1, F.date_format(day, " MM-dd-yyyy")).otherwise(
+            F.date_format(day, "yyyy-MM-dd")).alias("us"),
+        F.when(k % 5 == 0, F.date_format(day, "MM-dd-yyyy")).when(k % 5 == 1, F.lit("pending")).otherwise(
+            F.date_format(day, "d/M/yyyy")).alias("eu"))
+    votes = D.layout_votes(rows, ["us", "eu"])
+    return rows.select("invoice", *[D.parse_date_voted(c, first).alias(f"{c}_date") for c, first in votes.items()],
+                       *[F.lit(first).alias(f"{c}_month_first") for c, first in votes.items()])
+
+
 QUERIES: dict[str, Query] = {
+    "date_layout": q_date_layout,
     "event_impact": q_event_impact,
     "date_parse": q_date_parse,
     "time_parse": q_time_parse,
@@ -152,6 +168,24 @@ def q_colour_size_name(spark: SparkSession, sf_dir: str) -> DataFrame:
         "pos", "ean", "cat", "master_sku", "color", "memory_size", "product_name")
 
 
+def q_colour_whole_word(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X7 in both modes, over texts with keywords inside other words."""
+    k, text = F.col("pos"), F.col("sap_description")
+    text = F.when(k % 6 == 0, F.concat_ws(" ", F.col("cat"), F.lit("powered organizer"))).when(
+        k % 6 == 1, F.concat(F.col("detail_sub_lob"), F.lit("/ink-jet"))).otherwise(text)
+    p = product_view(spark, sf_dir).select("pos", F.when(k % 6 != 0, F.col("product_name")).alias("name"), text.alias("text"))
+    return p.select("pos", X.extract_color("name", "text").alias("color"),
+                    X.extract_color("name", "text", whole_word=True).alias("whole_word"))
+
+
+def q_customer_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """N2 with keyed ids, and with codes so short that many phones share one;
+    N1's numbers that fit."""
+    s = sales_view(spark, sf_dir).select(X.clean_phone(X.normalize_ws("phone")).alias("phone"))
+    short = C.keyed_customers(s, SERIAL_KEY, n_chars=2).withColumnRenamed("id", "short_id")
+    return C.keyed_customers(s, SERIAL_KEY).join(short, "phone").withColumn("fits", N.fits_phone_code("phone", CUST_SALT, 4))
+
+
 def q_price_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     cfg = P.price_scale_config(spark, PRICE_SCALE)
     p = P.mask_prices(_products(spark, sf_dir), cfg, SEED, key_col="master_sku")
@@ -306,6 +340,8 @@ QUERIES.update({
     "customer_master": q_customer_master,
     "customer_join": q_customer_join,
     "colour_size_name": q_colour_size_name,
+    "colour_whole_word": q_colour_whole_word,
+    "customer_keyed": q_customer_keyed,
     "price_mask": q_price_mask,
     "sku_lookup": q_sku_lookup,
     "sku_lookup_hot": q_sku_lookup_hot,
