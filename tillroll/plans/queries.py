@@ -4,6 +4,8 @@ columns match the DuckDB oracle of the same name (``tillroll.plans.oracles``).
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +17,7 @@ from tillroll.functions import text as X
 from tillroll.operators import reports as R
 from tillroll.plans.oracles import ANALYSIS_END, EVENT_START
 from tillroll.sources.fixtures import sales_view
-from tillroll.session import materialize
+from tillroll.session import ensure_checkpoint_dir, materialize
 from tillroll.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -192,6 +194,15 @@ def q_price_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("master_sku", "cat", "price", "new_price")
 
 
+def q_price_mask_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S5 + N5: the scales come from a file in the shared folder."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/price-scale-{uuid.uuid4().hex}"
+    spark.range(1).select(F.lit(json.dumps(PRICE_SCALE, indent=1)).alias("value")).coalesce(1).write.text(path)
+    cfg = P.price_scale_config(spark, load_price_scale(spark, path))
+    p = P.mask_prices(_products(spark, sf_dir), cfg, SEED, key_col="master_sku")
+    return p.select("master_sku", "cat", "price", "new_price")
+
+
 def q_sku_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J4 + J5: SKU of each sales line from the product master by EAN."""
     prod = _products(spark, sf_dir).select(
@@ -343,6 +354,7 @@ QUERIES.update({
     "colour_whole_word": q_colour_whole_word,
     "customer_keyed": q_customer_keyed,
     "price_mask": q_price_mask,
+    "price_mask_file": q_price_mask_file,
     "sku_lookup": q_sku_lookup,
     "sku_lookup_hot": q_sku_lookup_hot,
     "category_report": q_category_report,
@@ -431,7 +443,7 @@ from tillroll.plans.sales import SalesConfig, load_exports, sales_pipeline  # no
 from tillroll.sources.fixtures import YEAR_SPLIT_INVOICE, write_yearly_exports  # noqa: E402
 from tillroll.session import ensure_checkpoint_dir  # noqa: E402
 from tillroll.functions.names import find_column, insert_column, reorder  # noqa: E402
-from tillroll.sources.csv_io import read_csv_projected, read_csv_strings, write_csv  # noqa: E402
+from tillroll.sources.csv_io import load_price_scale, read_csv_projected, read_csv_strings, write_csv  # noqa: E402
 
 
 def q_quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
